@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm.encoding import encode_corpus
 from strandline.llm.frequent import top_values, top_with_text
+from strandline.llm.near_duplicates import groups, similar_pairs
+from strandline.llm.similar_vectors import nearest
 from strandline.llm.splitting import split_oversized
 from strandline.plans.registry import Registry
 from strandline.session import table
@@ -49,3 +51,54 @@ def p4_top(spark, sf_dir):
 @R.query("p8_ids")
 def p8_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+_RECORDS = """
+SELECT 'decision' AS kind, id, decision AS text FROM arch_cards WHERE arch_kind = 'decision'
+UNION ALL SELECT 'lesson', id, rule FROM arch_cards WHERE arch_kind = 'lesson'
+UNION ALL SELECT 'term', id, definition FROM glossary_terms
+"""
+
+
+def _records(spark, sf_dir):
+    cards = table(spark, sf_dir, "arch_cards").where(F.col("arch_kind").isin("decision", "lesson"))
+    text = F.when(F.col("arch_kind") == "decision", F.col("decision")).otherwise(F.col("rule"))
+    terms = table(spark, sf_dir, "glossary_terms")
+    return cards.select(F.col("arch_kind").alias("kind"), "id", text.alias("text")).unionByName(terms.select(F.lit("term").alias("kind"), "id", F.col("definition").alias("text")))
+
+
+@R.query(
+    "p3_found",
+    f"""
+WITH r AS (SELECT DISTINCT kind, id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS words FROM ({_RECORDS}))
+SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM r a JOIN r b ON a.kind = b.kind AND a.id < b.id
+WHERE len(list_intersect(a.words, b.words)) >= 0.7 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))
+""",
+)
+def p3_found(spark, sf_dir):
+    return similar_pairs(_records(spark, sf_dir)).select("id_a", "id_b")
+
+
+@R.query("p3_groups")
+def p3_groups(spark, sf_dir):
+    return groups(_records(spark, sf_dir))
+
+
+@R.query(
+    "p7_found",
+    """
+WITH v AS (SELECT DISTINCT model, hash, vector::DOUBLE[] AS vector FROM embedding_cache
+           WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+s AS (SELECT a.model, a.hash AS x, b.hash AS y, row_number() OVER (PARTITION BY a.model, a.hash ORDER BY list_cosine_similarity(a.vector, b.vector) DESC, b.hash) AS r
+      FROM v a JOIN v b ON a.model = b.model AND a.hash <> b.hash)
+SELECT DISTINCT model, least(x, y) AS hash_a, greatest(x, y) AS hash_b FROM s WHERE r <= 5
+""",
+)
+def p7_found(spark, sf_dir):
+    near = nearest(table(spark, sf_dir, "embedding_cache"))
+    return near.select("model", F.least("hash", "other").alias("hash_a"), F.greatest("hash", "other").alias("hash_b")).distinct()
+
+
+@R.query("p7_nearest")
+def p7_nearest(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embedding_cache"))
