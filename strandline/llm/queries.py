@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from strandline.llm.encoding import encode_corpus
 from strandline.llm.frequent import top_values, top_with_text
 from strandline.llm.near_duplicates import groups, similar_pairs
+from strandline.llm.packing import pack, token_sizes
+from strandline.llm.reading_level import reading_levels
 from strandline.llm.similar_vectors import nearest
 from strandline.llm.splitting import split_oversized
 from strandline.plans.registry import Registry
@@ -102,3 +104,22 @@ def p7_found(spark, sf_dir):
 @R.query("p7_nearest")
 def p7_nearest(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embedding_cache"))
+
+
+@R.query("p9_packed")
+def p9_packed(spark, sf_dir):
+    return pack(token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "token_windows"))
+
+
+def _levels(spark, sf_dir):
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_levels"))
+
+
+@R.query("p10_found")
+def p10_found(spark, sf_dir):
+    return _levels(spark, sf_dir).where("band = 4").select("doc_id")
+
+
+@R.query("p10_levels")
+def p10_levels(spark, sf_dir):
+    return _levels(spark, sf_dir)
