@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandline.llm.encoding import encode_corpus
 from strandline.llm.frequent import top_values, top_with_text
 from strandline.llm.near_duplicates import groups, similar_pairs
+from strandline.llm.non_source import non_source
 from strandline.llm.packing import pack, token_sizes
 from strandline.llm.reading_level import reading_levels
 from strandline.llm.similar_vectors import nearest
@@ -123,3 +124,13 @@ def p10_found(spark, sf_dir):
 @R.query("p10_levels")
 def p10_levels(spark, sf_dir):
     return _levels(spark, sf_dir)
+
+
+@R.query("p2_found")
+def p2_found(spark, sf_dir):
+    return non_source(table(spark, sf_dir, "source_files")).where("isNonSource").select("file_id")
+
+
+@R.query("p2_verdicts")
+def p2_verdicts(spark, sf_dir):
+    return non_source(table(spark, sf_dir, "source_files"))

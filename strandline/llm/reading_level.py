@@ -32,8 +32,10 @@ ROUNDS = 3
 FIT, BINS, RIDGE = 20_000, 16, 1.0
 #: Running text of fewer characters, or a page with a greater share of code, has no level.
 MIN_CHARS, MAX_CODE = 120, 0.9
+#: A line of more characters that begins with # is no heading but text whose line ends were lost.
+HEADING = 150
 _FEATURES = "doc_id long, tokens binary, lengths binary"
-_SKIP = re.compile(r"#|\||>|<|&|!\[|\[[^\]]*\]:")
+_SKIP = re.compile(r"\||>|<|&|!\[|\[[^\]]*\]:")
 _ITEM = re.compile(r"(?:[-*+]|\d+[.)])\s+")
 _LINES = re.compile(r"\r\n|\r|\n")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n")
@@ -54,7 +56,7 @@ def running_text(text: str) -> tuple[str, float]:
             fence = s[:3]
         elif line[:4] == "    " or line[:1] == "\t":
             code += len(line)
-        elif s and not _SKIP.match(s):
+        elif s and (len(s) > HEADING if s[0] == "#" else not _SKIP.match(s)):
             out.append(_ITEM.sub("", s, count=1))
     return _NOISE.sub(" ", "\n".join(out)).lower(), code / max(1, len(text))
 
