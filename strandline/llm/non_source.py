@@ -92,7 +92,7 @@ def judge(text: str | None, file: str | None, language: str | None) -> tuple[str
 
     Reasons: third_party, minified, data, generated.
     """
-    text = (text or "").lstrip("﻿")
+    text = (text or "").lstrip("\ufeff")
     file = file or ""
     hashes = file.rpartition(".")[2].lower() in HASH_SUFFIXES or (language or "").lower() in HASH_COMMENTS
     _, code, strings = lex(text, hashes)

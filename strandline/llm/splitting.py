@@ -37,7 +37,7 @@ def _near(points: np.ndarray, at: int, reach: int) -> int | None:
 def _hard(text: str, at: int, least: int) -> int:
     """at, or a little before it, so that no line end and no composed character is cut in two."""
     p = at
-    while p > least and (text[p - 1 : p + 1] == "\r\n" or unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍"):
+    while p > least and (text[p - 1 : p + 1] == "\r\n" or unicodedata.combining(text[p]) or text[p] in "\u200d\ufe0f" or text[p - 1] == "\u200d"):
         p -= 1
     return p if p > least else at
 
