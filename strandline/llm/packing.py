@@ -25,6 +25,8 @@ from strandline.session import fresh_dir
 PACKER_ITEMS = 25_000
 #: The share of a container that is left to the item that fills it best.
 LAST_STRETCH = 0.35
+#: Kinds of windows that are filled at once.
+MAX_WINDOWS = 100
 _PACKED = "window_name string, container string, doc_id long, piece int, token_start long, n_tokens long, position long"
 
 
@@ -140,11 +142,16 @@ def pack(sizes: DataFrame, windows: DataFrame, shares: dict[str, float] | None =
     """
     spark = sizes.sparkSession
     path = fresh_dir(spark, "sizes")
-    windows = F.broadcast(windows.where(F.col("capacity_tokens") > 0).groupBy("window_name").agg(F.max("capacity_tokens").alias("capacity")))
+    kinds = windows.where(F.col("capacity_tokens") > 0).groupBy("window_name").agg(F.max("capacity_tokens").alias("capacity")).limit(MAX_WINDOWS + 1).collect()
+    if len(kinds) > MAX_WINDOWS:
+        raise ValueError(f"more than {MAX_WINDOWS} windows")
     sizes.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n")).write.parquet(path)
     sizes = spark.read.parquet(path)
     packers = max(1, -(-sizes.count() // PACKER_ITEMS))
-    cut = sizes.crossJoin(windows)  # windows has a few rows
+    each = F.array(*(F.struct(F.lit(k["window_name"]).alias("window_name"), F.lit(k["capacity"]).cast("int").alias("capacity")) for k in kinds))
+    if not kinds:
+        return spark.createDataFrame([], _PACKED)
+    cut = sizes.select("*", F.explode(each).alias("w")).select("doc_id", "source", "n", "w.window_name", "w.capacity")
     empty = cut.where("n = 0").select("window_name", F.lit(None).cast("string").alias("container"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("token_start"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("position"))
     full = cut.where("n >= capacity").withColumn("piece", F.explode(F.sequence(F.lit(0), (F.expr("n div capacity") - 1).cast("int"))))
     name = F.format_string("%d-%016x-%d", "doc_id", F.xxhash64(F.monotonically_increasing_id()), "piece")

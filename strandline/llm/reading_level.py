@@ -7,7 +7,7 @@ documents and each other document the mean, over its sentences, of their words'
 over the documents' tokens that sends at most NODES sums from a task. Words tie the languages' own
 vocabularies to the ratings, so no language needs a rule of its own.
 
-Propagation draws all values towards the mean. A last fit on at most FIT rated documents turns the
+Propagation draws all values towards the mean. A last fit on about FIT rated documents, or all if they are fewer, turns the
 shares of a document's sentences in BINS ranges of difficulty into the scale of the ratings, and sets the
 cuts between bands.
 """
@@ -211,7 +211,9 @@ def reading_levels(documents: DataFrame, ratings: DataFrame) -> DataFrame:
         got = sums.groupBy("node").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).toArrow()  # at most NODES rows
         words = np.full(NODES, np.nan)
         words[got.column("node").to_numpy()] = got.column("total").to_numpy() / got.column("weight").to_numpy()
-    few = features.where(F.col("rated").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT).select("tokens", "lengths", "rated").toArrow()
+    rated = features.where(F.col("rated").isNotNull())
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * FIT / max(FIT, rated.count()))
+    few = rated.where(chosen).select("tokens", "lengths", "rated").toArrow()
     if not few.num_rows:
         return spark.createDataFrame([], "doc_id long, level double, band int")
     flat, starts, docs = _unpack(few.column("tokens").to_pylist(), few.column("lengths").to_pylist())

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from strandline.session import fresh_dir
 
 DIM = 64
-#: Vectors of each model that the index is fitted on.
+#: Vectors of each model that the index is fitted on, about.
 SAMPLE = 20_000
 #: Vectors for each cell, as the number of cells is chosen; at most MAX_CELLS cells.
 PER_CELL, MAX_CELLS = 128, 4096
@@ -117,15 +117,18 @@ def _books(x: np.ndarray, rest: np.ndarray, rounds: int = 6) -> np.ndarray:
 
 
 def fit(entries: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Cells and codebooks of every model, from its `sample` vectors first in the order of a hash."""
-    order = Window.partitionBy("model").orderBy(F.xxhash64("entry"), "entry")
-    few = entries.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample).select("model", "vector").toArrow()
+    """Cells and codebooks of every model, from about `sample` of its vectors, chosen by a hash, or all if they are fewer."""
     sizes = {r["model"]: r["n"] for r in entries.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}
+    most = F.create_map(*(F.lit(x) for m, n in sizes.items() for x in (m, max(1, 1_000_000 * sample // max(sample, n)))))
+    few = entries.where(F.pmod(F.xxhash64("entry"), F.lit(1_000_000)) < most[F.col("model")]).select("model", "vector").toArrow()
     fitted = {}
     names = np.array(few.column("model").to_pylist(), object)
     vectors = few.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
     for model, n in sizes.items():
-        x = _unit(vectors[names == model])
+        own = names == model
+        x = _unit(vectors[own]) if own.any() else np.eye(1, DIM, dtype=np.float32)
         centres = _cells(x, max(1, min(MAX_CELLS, len(x), n // PER_CELL)))
         rest = x - centres[_nearest(x, centres, 1)[:, 0]]
         fitted[model] = centres, _books(x, rest)
