@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -205,12 +206,11 @@ def prefix_query(query, family: str = "none") -> Column:
 
 def tickets(message, custom: dict[str, str] | None = None) -> Column:
     """Distinct tickets of a message as array of struct key, source; the first source of a key counts. custom: pattern -> source, of group 1 if there is one."""
-    found = [F.transform(F.regexp_extract_all(message, F.lit(p)), lambda k, s=s, b=b: F.struct(F.concat(F.lit(b), k).alias("key"), F.lit(s).alias("source"))) for s, p, b in fixed.TICKETS]
-    for pattern, source in (custom or {}).items():
-        import re
+    def from_pattern(pattern: str, group: int, source: str, before: str = "") -> Column:
+        return F.transform(F.regexp_extract_all(message, F.lit(pattern), F.lit(group)), lambda k: F.struct(F.concat(F.lit(before), k).alias("key"), F.lit(source).alias("source")))
 
-        group = 1 if re.compile(pattern).groups else 0
-        found.append(F.transform(F.regexp_extract_all(message, F.lit(pattern), F.lit(group)), lambda k, s=source: F.struct(k.alias("key"), F.lit(s).alias("source"))))
+    found = [from_pattern(p, 1, s, b) for s, p, b in fixed.TICKETS]
+    found += [from_pattern(p, min(1, re.compile(p).groups), s) for p, s in (custom or {}).items()]
     every = F.concat(*found)
     return F.filter(every, lambda t, i: F.array_position(F.transform(every, lambda u: u["key"]), t["key"]) == i + 1)
 
