@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import fresh_dir
+
 #: Canonical lines for each original line, and characters of an original line, from which a file is minified.
 EXPANSION, LONG = 8.0, 250.0
 #: Share of lines made by a template used REPEATS times or more, from which a file of LEAST_LINES is generated.
@@ -140,7 +142,9 @@ def non_source(files: DataFrame) -> DataFrame:
     unknown. Repeated rows are judged alike. Other columns are ignored.
     """
     rows = files.select(F.col("file_id").cast("long").alias("file_id"), "group_name", "project_name", "file", "language", "content")
-    verdicts = rows.mapInArrow(_judge, VERDICTS)
+    path = fresh_dir(files.sparkSession, "verdicts")
+    rows.mapInArrow(_judge, VERDICTS).write.parquet(path)  # without contents: read for the known copies and for the verdicts
+    verdicts = files.sparkSession.read.parquet(path)
     known = verdicts.where(F.col("own") & F.col("code_key").isNotNull()).select("code_key", F.lit(True).alias("copied")).distinct()
     named = verdicts.join(known, "code_key", "left")
     reason = F.when(F.col("reason").isNull() & F.col("copied"), F.lit("third_party")).otherwise(F.col("reason"))
