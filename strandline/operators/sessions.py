@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import fresh_dir
+
 #: parent_gap of a tree's root.
 ROOT = 2**63 - 1
 _NODE = "user string, gap long, parent_gap long, start_ts long, end_ts long, n_events long"
@@ -157,7 +159,10 @@ def gap_tree(events: DataFrame, user: str = "user", ts: str = "ts", event_id: st
         .select("user", "ts")
         .sortWithinPartitions("user", "ts")
     )
-    folded = rows.mapInArrow(_stretches, _NODE + _OPEN)
+    spark, path = events.sparkSession, fresh_dir(events.sparkSession, "gaps")
+    # written, for both readers below must see the same stretches: a second range partitioning may differ
+    rows.mapInArrow(_stretches, _NODE + _OPEN).write.parquet(path)
+    folded = spark.read.parquet(path)
     done = folded.where(F.col("right_ts").isNull()).drop("right_ts", "right_idx", "stretch_ts", "stretch_n")
     opened = (
         folded.where(F.col("right_ts").isNotNull())

@@ -1,4 +1,4 @@
 """Registered queries and the SQL they are held against."""
 
 #: Modules of this package that hold a registry R.
-FAMILIES = ["general", "analytics", "text", "graph", "retrieval", "maintenance", "pipelines"]
+FAMILIES = ["general", "analytics", "text", "graph", "retrieval", "maintenance", "pipelines", "tools"]

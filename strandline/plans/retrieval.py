@@ -26,9 +26,9 @@ def _points(spark, sf_dir):
     return view(spark, sf_dir, "points").withColumn("id", F.col("vec_id"))
 
 
-def _search(spark, sf_dir, keep=F.lit(True), k: int = 10):
+def _search(spark, sf_dir, keep=None, k: int = 10):
     p = _points(spark, sf_dir)
-    return S.top_k(p.where("vec_id % 100 = 0"), p.where(keep), k)
+    return S.top_k(p.where("vec_id % 100 = 0"), p if keep is None else p.where(keep), k)
 
 
 @R.query("vector_topk", _top())
