@@ -25,7 +25,7 @@ EXPANSION, LONG = 8.0, 250.0
 #: Share of lines made by a template used REPEATS times or more, from which a file of LEAST_LINES is generated.
 UNIFORM, REPEATS, LEAST_LINES = 0.6, 4, 10
 #: Share of literals in the code, from which a file of LEAST_CODE characters is data.
-LITERAL, LEAST_CODE = 0.6, 300
+LITERAL, LEAST_CODE = 0.65, 300
 #: Lines at the head of a file whose comments are read.
 HEAD = 14
 
@@ -57,16 +57,16 @@ VERDICTS = "file_id long, group_name string, project_name string, file string, i
 
 
 def lex(text: str, hashes: bool) -> tuple[list[str], str, int]:
-    """The comments, the code with strings emptied, and the characters in strings. hashes: whether # begins a comment."""
+    """The comments, the code with strings emptied, and the characters taken out of strings. hashes: whether # begins a comment."""
     comments: list[str] = []
-    literal = 0
+    literal = 0  # beyond the two quotes that stay
 
     def one(m: re.Match) -> str:
         nonlocal literal
         if m.lastgroup == "c":
             comments.append(m.group())
             return " "
-        literal += m.end() - m.start()
+        literal += m.end() - m.start() - 2
         return '""'
 
     return comments, _LEXERS[hashes].sub(one, text), literal
@@ -102,7 +102,8 @@ def judge(text: str | None, file: str | None, language: str | None) -> tuple[str
     statements = canonical(code)
     size = sum(map(len, statements)) + strings
     numbers = sum(len(n) for n in _NUMBER.findall(code))
-    literal = (strings + numbers) / max(1, len(re.sub(r"\s+", "", code)) + strings)
+    quoted = strings + 2 * code.count('""')
+    literal = (quoted + numbers) / max(1, len(re.sub(r"\s+", "", code)) + strings)
     expansion = len(statements) / max(1, len(originals))
     templates = [_DIGITS.sub("0", s) for s in originals if len(s) >= 12]
     counts = Counter(templates)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strandline.llm.landmarks import code_points, landmarks
 
 #: Boundaries from strongest to weakest: after a blank line, a line, a sentence, white space.
-_BOUNDARIES = [re.compile(p) for p in (r"\n[ \t]*\r?\n", r"\n", r"[.!?;][\"')\]]*\s", r"\s")]
+_BOUNDARIES = [re.compile(p) for p in (r"\n[ \t]*\r?\n", r"\n", r"[.!?;][\"')\]]*(?:\r\n|\s)", r"\r\n|\s")]
 PIECES = (
     "grp string, project string, file string, language string, chunk_id string, piece_no int, n_pieces int, "
     "startLine int, endLine int, content string, hash string, start_char int, end_char int"
