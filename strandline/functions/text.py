@@ -43,14 +43,12 @@ def hash_query(c) -> Column:
 def tokenize_query(c) -> Column:
     """Sorted distinct words of two or more characters that are no stop words."""
     clean = F.regexp_replace(F.regexp_replace(normalize_query(c), r"[\x00-\x1f\x7f]", " "), r"[^\p{L}\p{N}_]+", " ")
-    stop = _strings(fixed.QUERY_STOP_WORDS)
-    return F.array_sort(F.array_distinct(F.filter(F.split(clean, " "), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))))
+    return F.array_sort(F.array_distinct(F.filter(F.split(clean, " "), lambda w: (F.length(w) >= 2) & ~w.isin(fixed.QUERY_STOP_WORDS))))
 
 
 def terms(c) -> Column:
     """Full-text terms in order, repeated ones kept."""
-    stop = _strings(fixed.TERM_STOP_WORDS)
-    return F.filter(F.split(F.lower(c), r"[^a-z0-9_]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.split(F.lower(c), r"[^a-z0-9_]+"), lambda t: (F.length(t) > 1) & ~t.isin(fixed.TERM_STOP_WORDS))
 
 
 def term_index(c) -> Column:
@@ -79,8 +77,7 @@ def abbreviation_variant(query) -> Column:
 
 def keyword_variant(query) -> Column:
     """Without filler words, if that takes something and leaves two words or more."""
-    stop = _strings(fixed.FILLER_WORDS)
-    kept = F.filter(words(query), lambda w: ~F.array_contains(stop, F.lower(w)))
+    kept = F.filter(words(query), lambda w: ~F.lower(w).isin(fixed.FILLER_WORDS))
     return F.when((F.size(kept) < F.size(words(query))) & (F.size(kept) >= 2), F.concat_ws(" ", kept))
 
 
@@ -163,7 +160,7 @@ def auto_tag(path) -> Column:
     """The first folder of a path that is no root folder, null if there is none."""
     parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.get(F.filter(folders, lambda p: ~F.array_contains(_strings(fixed.ROOT_FOLDERS), p)), 0)
+    return F.get(F.filter(folders, lambda p: ~p.isin(fixed.ROOT_FOLDERS)), 0)
 
 
 def resolve_tags(path, tags=(), folder_tags: dict[str, list[str]] | None = None) -> Column:

@@ -97,13 +97,19 @@ def corpus_stats(parts: DataFrame, group: str = "grp", key: str = "id", text: st
 
 
 def document_vectors(parts: DataFrame, group: str = "grp", key: str = "id", text: str = "text") -> DataFrame:
-    """Sparse vectors of all parts: group, key, term, weight. Weights that aren't positive are left out."""
-    df, totals = corpus_stats(parts, group, key, text)
-    rows = parts.select(group, key, T.terms(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
-    tf = rows.select(group, key, "length", F.explode("terms").alias("term")).groupBy(group, key, "length", "term").agg(F.count("*").alias("tf"))
+    """Sparse vectors of all parts: group, key, term, weight. Weights are positive, for no term is in more parts than there are.
+
+    Document frequencies and lengths come from the term counts, whose exchange all uses share. The outer explode keeps
+    the planner from adding a filter on the terms, which would find them twice.
+    """
+    rows = parts.select(group, key, T.terms(F.col(text)).alias("terms"))
+    tf = rows.select(group, key, F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy(group, key, "length", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(group, "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    lengths = tf.groupBy(group).agg(F.sum("tf").alias("all"))
+    totals = parts.groupBy(group).agg(F.count("*").alias("n")).join(lengths, group).select(group, "n", (F.col("all") / F.col("n")).alias("average"))
     every = tf.join(df, [group, "term"]).join(totals, group)
     weight = V.bm25(F.col("tf"), F.col("length"), F.col("average"), F.col("df"), F.col("n"))
-    return every.select(group, key, "term", weight.alias("weight")).where("weight > 0")
+    return every.select(group, key, "term", weight.alias("weight"))
 
 
 def query_vectors(queries: DataFrame, df: DataFrame, totals: DataFrame, group: str = "grp") -> DataFrame:

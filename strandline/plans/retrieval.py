@@ -110,7 +110,7 @@ def document_frequencies(spark, sf_dir):
     return S.corpus_stats(_parts(spark, sf_dir))[0]
 
 
-@R.query("bm25_document_vectors", oracle(f"WITH {_BM.strip()} SELECT grp, id, count(*) AS terms, round(sum(weight), 4) AS total, round(max(weight), 6) AS top FROM w WHERE weight > 0 GROUP BY 1, 2"))
+@R.query("bm25_document_vectors", oracle(f"WITH {_BM.strip()} SELECT grp, id, count(*) AS terms, round(sum(weight), 4) AS total, round(max(weight), 6) AS top FROM w GROUP BY 1, 2"))
 def bm25_document_vectors(spark, sf_dir):
     w = S.document_vectors(_parts(spark, sf_dir))
     return w.groupBy("grp", "id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("top"))

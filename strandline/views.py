@@ -52,14 +52,15 @@ VIEWS = {
             SELECT 'p' || CAST(l_suppkey % 5 AS STRING) AS project, 's' || CAST(l_partkey % 400 AS STRING) AS symbol, CAST(l_orderkey AS STRING) AS chunk_id, 'f' || CAST(l_orderkey % 97 AS STRING) AS file,
                    l_returnflag AS r, l_linenumber AS n FROM lineitem
         ) WHERE r = 'R' AND n <= 3""",
+    "file_heads": """
+        SELECT min(file_id) AS file_id, file, min(project_name) AS project_name, max(total_lines) AS total_lines, CAST(min(file_id) % 20 AS INT) AS day FROM source_files GROUP BY file""",
     "commits": """
         SELECT DISTINCT file, substring(md5(file || '/' || n), 1, 12) AS commit_hash,
                CASE WHEN day % 2 = 0 THEN '2025-01-' || substring(CAST(110 + day AS STRING), 2, 2) || 'T0' || n || ':30:00+03:00' ELSE '2025-01-' || substring(CAST(110 + day AS STRING), 2, 2) || 'T0' || n || ':30:00Z' END AS committed_at,
                project_name || '@example.org' AS author_email,
                CASE WHEN n = '1' THEN 'feat: PROJ-' || CAST(file_id % 50 AS STRING) || ' for ' || project_name || '/core#7' WHEN n = '2' THEN 'fix: closes #' || CAST(file_id % 30 AS STRING) ELSE 'chore' END AS subject,
                CAST(n AS INT) AS n, total_lines
-        FROM (SELECT min(file_id) AS file_id, file, min(project_name) AS project_name, max(total_lines) AS total_lines, CAST(min(file_id) % 20 AS INT) AS day FROM source_files GROUP BY file) f
-        CROSS JOIN (SELECT '1' AS n UNION ALL SELECT '2' UNION ALL SELECT '3') k""",
+        FROM (SELECT *, '1' AS n FROM file_heads UNION ALL SELECT *, '2' AS n FROM file_heads UNION ALL SELECT *, '3' AS n FROM file_heads)""",
     # the third commit of a file has no hunks
     "hunks": "SELECT file, commit_hash, n * 10 AS start_line, n * 10 + 25 AS end_line FROM commits WHERE n < 3",
     "placed": """
