@@ -28,12 +28,12 @@ DIM = 64
 SAMPLE = 20_000
 #: Vectors for each cell, as the number of cells is chosen; at most MAX_CELLS cells.
 PER_CELL, MAX_CELLS = 128, 4096
-PROBES = 12
+PROBES = 8
 ETA = 4.0
 PARTS = DIM // 2
 RERANK = 32
 BLOCK = 4096
-_INDEXED = "model string, cell int, block int, query boolean, entry binary, vector binary, codes binary"
+_INDEXED = "model string, entry binary, vector binary, codes binary, cells array<int>"
 
 
 def usable(cache: DataFrame, dim: int = DIM) -> DataFrame:
@@ -136,37 +136,28 @@ def fit(entries: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[np.ndarray,
 
 
 def _place(shared, probes: int):
-    """Index rows: an entry in its cell, and as a query in each of its nearest cells."""
+    """Index rows: a unit vector with its packed codes and its nearest cells, its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             models = np.array(batch.column(0).to_pylist(), object)
-            vectors = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM))
+            vectors = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)) if batch.num_rows else None
             for model in dict.fromkeys(models.tolist()):
                 own = np.flatnonzero(models == model)
                 centres, books = shared.value[model]
                 x = vectors[own]
-                near = _nearest(x, centres, probes)
+                near = _nearest(x, centres, probes).astype(np.int32)
                 codes = encode(x, x - centres[near[:, 0]], books)
                 packed = (codes[:, ::2] << 4 | codes[:, 1::2]).astype(np.uint8)
-                keys = batch.column(1).take(pa.array(own))
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
-                n = len(own)
-                yield _rows(model, near[:, 0], False, keys, raw, pa.array([c.tobytes() for c in packed], pa.binary()))
-                for p in range(near.shape[1]):
-                    yield _rows(model, near[:, p], True, keys, raw, pa.nulls(n, pa.binary()))
+                rows = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([model] * len(own), pa.string()), batch.column(1).take(pa.array(own)).cast(pa.binary()), rows(x), rows(packed), pa.array(list(near), pa.list_(pa.int32()))],
+                    ["model", "entry", "vector", "codes", "cells"],
+                )
 
     return run
 
 
-def _rows(model, cells, query, keys, raw, codes) -> pa.RecordBatch:
-    n = len(cells)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([model] * n, pa.string()), pa.array(cells.astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, query)), keys.cast(pa.binary()), raw, codes],
-        ["model", "cell", "block", "query", "entry", "vector", "codes"],
-    )
-
-
 def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Scores of every query (tables: queries x PARTS x 16) against every packed code, by table look-up."""
     q = len(tables)
@@ -242,10 +233,12 @@ def nearest(cache: DataFrame, k: int = 5, probes: int = PROBES, rerank: int = RE
     shared = spark.sparkContext.broadcast(fit(entries))  # bounded by MAX_CELLS centres for each model
     entries.select("model", "entry", "vector").mapInArrow(_place(shared, probes), _INDEXED).write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
-    sizes = index.where("not query").groupBy("model", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    index = index.drop("block").join(F.broadcast(sizes), ["model", "cell"])  # one row for each cell
+    sizes = index.groupBy("model", F.col("cells")[0].alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    roles = F.concat(F.array(F.struct(F.col("cells")[0].alias("cell"), F.lit(False).alias("query"))), F.transform("cells", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("query"))))
+    placed = index.select("model", "entry", "vector", "codes", F.explode(roles).alias("r")).select("model", "r.cell", "r.query", "entry", "vector", F.when(~F.col("r.query"), F.col("codes")).alias("codes"))
+    placed = placed.join(F.broadcast(sizes), ["model", "cell"])  # one row for each cell
     own = F.array(F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-    spread = index.withColumn("block", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+    spread = placed.withColumn("block", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
     place = ["model", "cell", "block"]
     ordered = spread.select(*place, "query", "entry", "vector", "codes").repartition(*place).sortWithinPartitions(*place, "query")
     hits = ordered.mapInArrow(_scan(shared, k, rerank), "model string, entry binary, other binary, cosine double")
