@@ -165,10 +165,12 @@ def pack(sizes: DataFrame, windows: DataFrame, shares: dict[str, float] | None =
     if shares is not None:
         wanted = spark.createDataFrame([(k, float(v)) for k, v in shares.items()] or [("", 0.0)], "source string, wanted double")
         by_source = by_source.join(F.broadcast(wanted), "source", "left").withColumn("share", F.coalesce("wanted", F.lit(0.0)))
-    grid = supply.groupBy("window_name", "packer").agg(F.sum("supply").alias("total"), F.first("capacity").alias("capacity"))
-    grid = grid.join(by_source.select("window_name", "source", "share"), "window_name").join(supply.select("window_name", "packer", "source", "supply"), ["window_name", "packer", "source"], "left")
-    before = Window.partitionBy("window_name", "source").orderBy("packer").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.coalesce(F.sum(F.col("share") * F.col("total") - F.coalesce("supply", F.lit(0))).over(before), F.lit(0.0))
+    before = lambda *by: Window.partitionBy(*by).orderBy("packer").rowsBetween(Window.unboundedPreceding, -1)
+    totals = supply.groupBy("window_name", "packer").agg(F.sum("supply").alias("total"))  # one row for each packer
+    totals = totals.select("window_name", "packer", F.coalesce(F.sum("total").over(before("window_name")), F.lit(0)).alias("placed"))
+    had = F.coalesce(F.sum("supply").over(before("window_name", "source")), F.lit(0))
+    grid = supply.withColumn("had", had).join(totals, ["window_name", "packer"]).join(by_source.select("window_name", "source", "share"), ["window_name", "source"])
+    carried = F.col("share") * F.col("placed") - F.col("had")
     none = lambda kind: F.lit(None).cast(kind)
     opening = grid.select("window_name", "packer", "source", "share", carried.alias("deficit"), F.col("capacity").cast("int"), none("long").alias("doc_id"), none("int").alias("piece"), none("long").alias("token_start"), none("long").alias("n_tokens"))
     given = items.select("window_name", "packer", "source", none("double").alias("share"), none("double").alias("deficit"), "capacity", "doc_id", "piece", "token_start", "n_tokens")
