@@ -26,6 +26,8 @@ from strandline.session import fresh_dir
 DIM = 64
 #: Vectors of each model that the index is fitted on, about.
 SAMPLE = 20_000
+#: Of these, the vectors that the codebooks are fitted on, at most.
+BOOK_SAMPLE = 8192
 #: Vectors for each cell, as the number of cells is chosen; at most MAX_CELLS cells.
 PER_CELL, MAX_CELLS = 128, 4096
 PROBES = 8
@@ -131,7 +133,8 @@ def fit(entries: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[np.ndarray,
         x = _unit(vectors[own]) if own.any() else np.eye(1, DIM, dtype=np.float32)
         centres = _cells(x, max(1, min(MAX_CELLS, len(x), n // PER_CELL)))
         rest = x - centres[_nearest(x, centres, 1)[:, 0]]
-        fitted[model] = centres, _books(x, rest)
+        some = slice(None, None, -(-len(x) // BOOK_SAMPLE))
+        fitted[model] = centres, _books(x[some], rest[some])
     return fitted
 
 
