@@ -26,7 +26,7 @@ _RATE = "coalesce(CASE r.language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v i
     oracle(f"""
     WITH e AS (SELECT s.id, sum(r.chunk_lines * {_RATE}) AS found, sum(coalesce(r.file_total_lines, r.chunk_lines * 5) * {_RATE}) AS whole, sum(CASE WHEN f.id IS NULL THEN 0 ELSE r.chunk_lines * {_RATE} END) AS used
         FROM searches s JOIN search_results r ON r.search_id = s.id LEFT JOIN fetches f ON f.preceding_search_id = s.id AND f.chunk_id = r.chunk_id GROUP BY s.id)
-    SELECT count(*) AS searches, round(sum(whole), 3) AS naive_baseline, round(sum(found), 3) AS search_only, round(sum(used), 3) AS actually_consumed,
+    SELECT count(*) AS searches, round(sum(whole), 3)::DOUBLE AS naive_baseline, round(sum(found), 3)::DOUBLE AS search_only, round(sum(used), 3)::DOUBLE AS actually_consumed,
            round(1.0 - sum(found) / sum(whole), 6) AS savings_vs_naive, round(1.0 - sum(used) / sum(whole), 6) AS savings_realized FROM e"""),
 )
 def token_savings_report(spark, sf_dir):

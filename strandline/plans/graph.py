@@ -155,12 +155,12 @@ def chunk_commits(spark, sf_dir):
     return _chunk_commits(spark, sf_dir)
 
 
-@R.query("latest_commit", oracle(f"WITH {_COMMITS.strip()} SELECT * FROM (SELECT chunk_id, commit_hash, committed_at, row_number() OVER (PARTITION BY chunk_id ORDER BY committed_at DESC, commit_hash) AS rank FROM cc) WHERE rank <= 1"))
+@R.query("latest_commit", oracle(f"WITH {_COMMITS.strip()} SELECT * FROM (SELECT chunk_id, commit_hash, committed_at, row_number() OVER (PARTITION BY chunk_id ORDER BY committed_at DESC, commit_hash)::INT AS rank FROM cc) WHERE rank <= 1"))
 def latest_commit(spark, sf_dir):
     return H.top_commits(_chunk_commits(spark, sf_dir), 1).select("chunk_id", "commit_hash", "committed_at", "rank")
 
 
-@R.query("top_commits_by_instant", oracle(f"WITH {_COMMITS.strip()} SELECT * FROM (SELECT chunk_id, commit_hash, row_number() OVER (PARTITION BY chunk_id ORDER BY committed_at::TIMESTAMPTZ DESC, commit_hash) AS rank FROM cc) WHERE rank <= 2"))
+@R.query("top_commits_by_instant", oracle(f"WITH {_COMMITS.strip()} SELECT * FROM (SELECT chunk_id, commit_hash, row_number() OVER (PARTITION BY chunk_id ORDER BY committed_at::TIMESTAMPTZ DESC, commit_hash)::INT AS rank FROM cc) WHERE rank <= 2"))
 def top_commits_by_instant(spark, sf_dir):
     return H.top_commits(_chunk_commits(spark, sf_dir), 2, by_instant=True).select("chunk_id", "commit_hash", "rank")
 

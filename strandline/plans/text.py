@@ -41,7 +41,7 @@ def tokenize_query(spark, sf_dir):
 _TERMS = f"list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 1 AND NOT list_contains({_list(fixed.TERM_STOP_WORDS)}, t))"
 
 
-@R.query("document_terms", f"SELECT doc_id, len({_TERMS}) AS n_terms, md5(array_to_string({_TERMS}, ' ')) AS terms FROM documents WHERE text IS NOT NULL")
+@R.query("document_terms", f"SELECT doc_id, len({_TERMS})::INT AS n_terms, md5(array_to_string({_TERMS}, ' ')) AS terms FROM documents WHERE text IS NOT NULL")
 def document_terms(spark, sf_dir):
     terms = T.terms(F.col("text"))
     return view(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(terms).alias("n_terms"), F.md5(F.array_join(terms, " ")).alias("terms"))
