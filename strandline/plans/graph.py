@@ -58,8 +58,8 @@ def degree_stats(spark, sf_dir):
     return G.degrees(_edges(spark, sf_dir))
 
 
-@R.query("p95_degrees", _sql("SELECT p95_in_degree, p95_out_degree FROM pin, pout"))
-def p95_degrees(spark, sf_dir):
+@R.query("degree_p95", _sql("SELECT p95_in_degree, p95_out_degree FROM pin, pout"))
+def degree_p95(spark, sf_dir):
     return G.p95_degrees(G.degrees(_edges(spark, sf_dir)))
 
 
