@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,23 @@ def build_session(master: str = "local[8]", name: str = "strandline", **conf: st
     return SparkSession.builder.master(master).appName(name).config(map=settings).getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once an application, unless PYTHONPATH or a local session's folder gives it them."""
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    local = spark.sparkContext.master.startswith("local[") and Path.cwd() == root
+    if app in _shipped or local or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(app)
+    path = Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted((root / "strandline").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
