@@ -52,6 +52,13 @@ VIEWS = {
             SELECT 'p' || CAST(l_suppkey % 5 AS STRING) AS project, 's' || CAST(l_partkey % 400 AS STRING) AS symbol, CAST(l_orderkey AS STRING) AS chunk_id, 'f' || CAST(l_orderkey % 97 AS STRING) AS file,
                    l_returnflag AS r, l_linenumber AS n FROM lineitem
         ) WHERE r = 'R' AND n <= 3""",
+    # the same of every line item: it either defines or uses its part, so symbols grow with the data and definers per symbol don't
+    "all_defs": """
+        SELECT DISTINCT 'p' || CAST(l_suppkey % 5 AS STRING) AS project, 's' || CAST(l_partkey AS STRING) AS symbol, CAST(l_orderkey AS STRING) AS chunk_id, 'f' || CAST(l_orderkey % 97 AS STRING) AS file
+        FROM lineitem WHERE l_returnflag = 'A'""",
+    "all_uses": """
+        SELECT 'p' || CAST(l_suppkey % 5 AS STRING) AS project, 's' || CAST(l_partkey AS STRING) AS symbol, CAST(l_orderkey AS STRING) AS chunk_id, 'f' || CAST(l_orderkey % 97 AS STRING) AS file
+        FROM lineitem WHERE l_returnflag <> 'A'""",
     "file_heads": """
         SELECT min(file_id) AS file_id, file, min(project_name) AS project_name, max(total_lines) AS total_lines, CAST(min(file_id) % 20 AS INT) AS day FROM source_files GROUP BY file""",
     "commits": """

@@ -37,3 +37,13 @@ def test_hubs_and_impact(spark):
     assert len(usages) == 5
     none = e.limit(0)
     assert G.hubs(G.degrees(none)).count() == 0 and G.impact(none, seeds).count() == 0
+
+
+def test_whole_edges_at_every_size(spark):
+    from strandline.plans.graph import R
+    from strandline.views import view
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        used = view(spark, sf, "all_uses").select("project", "symbol").distinct().join(view(spark, sf, "all_defs").select("project", "symbol").distinct(), ["project", "symbol"]).count()
+        edges = R.queries["symbol_edges_whole"](spark, sf)
+        assert edges.select("project", "symbol_name").distinct().count() >= 0.9 * used > 0
