@@ -3,8 +3,8 @@
 Each file is lexed and re-emitted in a canonical layout, one statement a line. How the original departs
 from that tells its kind: a file that expands extremely was minified, one whose lines are all made by the
 same few templates was generated, one that is nearly all literals is data. What a tool or a third party
-says of a file stands in the comments ahead of its code; only comments count, so code that writes or
-mentions such a notice doesn't. A copy whose notice was taken off is known by its canonical code.
+says of a file stands in comment lines, at its head, its foot or between; only comments count, so code that
+writes or mentions such a notice doesn't. A copy whose notice was taken off is known by its canonical code.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ EXPANSION, LONG = 8.0, 250.0
 UNIFORM, REPEATS, LEAST_LINES = 0.6, 4, 10
 #: Share of literals in the code, from which a file of LEAST_CODE characters is data.
 LITERAL, LEAST_CODE = 0.65, 300
-#: Lines at the head of a file whose comments are read.
-HEAD = 14
 
 # What notices say, in the words in use, and folders that hold copies.
 GENERATED = re.compile(
@@ -51,6 +49,7 @@ _LEXERS = {
 _NUMBER = re.compile(r"(?<![\w$])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)\w*")
 _BREAK = re.compile(r"[;{}\n]")
 _DIGITS = re.compile(r"\d+")
+_HERE = re.compile(r"<<[-~]?[ \t]*['\"]?([A-Z_]\w*)")
 _LINE = re.compile(r"\r\n|\r|\n")
 _BARE = re.compile(r"^[/#*\-\s!<;]+|[\s*/>]+$")
 VERDICTS = "file_id long, group_name string, project_name string, file string, isNonSource boolean, reason string, expansion double, uniformity double, literal_share double, code_key long, own boolean"
@@ -77,13 +76,20 @@ def canonical(code: str) -> list[str]:
     return [line for part in _BREAK.split(code) if (line := " ".join(part.split()))]
 
 
-def head_comments(text: str, hashes: bool) -> list[str]:
-    """The comment lines among the first lines, without their marks."""
-    found, inside = [], False
-    for line in _LINE.split(text[:8000])[:HEAD]:
-        s = line.strip()
+def comment_lines(text: str, hashes: bool) -> list[str]:
+    """The comment lines of the whole file, without their marks. Lines within strings and here-documents are none."""
+    text = _LEXERS[hashes].sub(lambda m: m.group() if "\n" not in m.group() or m.group().startswith("/*") else '""', text)
+    lines = [line.strip() for line in _LINE.split(text)]
+    last = {s: i for i, s in enumerate(lines)} if hashes and "<<" in text else {}
+    found, inside, tag = [], False, None
+    for i, s in enumerate(lines):
+        if tag is not None:  # in a here-document
+            tag = None if s == tag else tag
+            continue
         if inside or s.startswith(("/*", "//", "<!--")) or hashes and s.startswith("#"):
             found.append(_BARE.sub("", s))
+        elif last and (m := _HERE.search(s)) and last.get(m.group(1), -1) > i:
+            tag = m.group(1)
         if not hashes:
             inside = (inside or s.startswith("/*")) and "*/" not in s
     return found
@@ -108,12 +114,12 @@ def judge(text: str | None, file: str | None, language: str | None) -> tuple[str
     templates = [_DIGITS.sub("0", s) for s in originals if len(s) >= 12]
     counts = Counter(templates)
     uniformity = sum(n for n in counts.values() if n >= REPEATS) / max(1, len(templates))
-    head = head_comments(text, hashes)
+    notices = comment_lines(text, hashes)
     key = xxhash.xxh3_64_intdigest("\n".join(statements).encode()) >> 1 if len(statements) >= LEAST_LINES else None
     reason = None
-    if THIRD_PARTY_FOLDERS.search(file) or any(THIRD_PARTY.search(c) for c in head):
+    if THIRD_PARTY_FOLDERS.search(file) or any(THIRD_PARTY.search(c) for c in notices):
         reason = "third_party"
-    elif any(GENERATED.search(c) for c in head):
+    elif any(GENERATED.search(c) for c in notices):
         reason = "generated"
     elif expansion >= EXPANSION and len(text) / max(1, len(originals)) >= LONG:
         reason = "minified"

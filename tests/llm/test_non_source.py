@@ -39,3 +39,18 @@ def test_rows(spark):
     got = [(r["file_id"], r["isNonSource"], r["reason"]) for r in non_source(spark.createDataFrame(rows, FILES)).collect()]
     assert sorted(got, key=repr) == [(1, False, None), (1, False, None), (2, True, "third_party"), (3, True, "third_party"), (4, False, None), (5, False, None)]
     assert non_source(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_notices_beyond_the_head():
+    foot = "\n// Code generated by x-gen. DO NOT EDIT.\n"
+    assert reason(HAND + foot) == "generated" and reason(HAND * 20 + foot) == "generated"
+    assert reason("/*\n" + " * what this file is for\n" * 500 + " * @generated by x\n */\n" + HAND) == "generated"
+    assert reason(HAND + "\n// Licensed under the Open License\n") == "third_party"
+    script = "import os\n\n" + "\n".join(f"def {w}(a):\n    return a.{w}\n" for w in "alpha beta gamma delta epsilon zeta".split())
+    assert reason(script + "# generated from a.proto on build 7\n", "a.py", "python") == "generated"
+
+
+def test_code_that_writes_a_notice_is_source():
+    assert reason(HAND + "const head = `\n// Code generated by x-gen. DO NOT EDIT.\n`;\n") is None
+    assert reason('def f():\n    x = """\n# Code generated by x. DO NOT EDIT.\n"""\n    return x\n', "a.py", "python") is None
+    assert reason("set -e\ncat > out.go <<EOF\n# Code generated by x. DO NOT EDIT.\nEOF\necho done\n", "a.sh", "shell") is None
