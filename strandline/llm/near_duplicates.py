@@ -3,8 +3,9 @@
 Every distinct word set gets TREES keys of DEPTH min-hash labels. Sorting a tree by its keys puts similar
 sets side by side; a set is compared with its neighbours for as long as they share a prefix. The prefix
 asked for starts at SHALLOW labels and grows where a region of the tree holds more than REGION sets, so
-that sparse regions are searched widely and dense ones closely. Sets that share a whole key are all
-compared, however many they are. A comparison is of one-bit sketches, over whole columns at once; what
+that sparse regions are searched widely and dense ones closely. A longer prefix is shared more seldom, so
+sets in dense regions get further trees, as many as keep the chance to miss a pair at the threshold below
+MISS. Sets that share a whole key are all compared, however many they are. A comparison is of one-bit sketches, over whole columns at once; what
 passes is checked by its words.
 
 Equal sets are one class from the start, so copies cost one entry however many they are. Regions are
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from strandline.session import cut
 
 TREES, DEPTH, SHALLOW, REGION = 24, 10, 3, 384
+#: The greatest chance that a pair at the threshold shares no region, however dense these are.
+MISS = 0.001
 #: Labels that place a region's task.
 SPREAD = 2
 #: Sketch bits that must agree: those expected at the threshold less so many standard deviations.
@@ -42,38 +45,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SEEDS = _mix(np.arange(1, _BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _signatures(flat: np.ndarray, starts: np.ndarray, trees: int) -> np.ndarray:
     """Min-hash values, one row for each set; flat: the hashed words of all sets."""
-    out = np.empty((len(starts), _BITS), np.uint64)
-    for j, seed in enumerate(_SEEDS):
+    seeds = _mix(np.arange(1, trees * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.empty((len(starts), len(seeds)), np.uint64)
+    for j, seed in enumerate(seeds):
         out[:, j] = np.minimum.reduceat(_mix(flat ^ seed), starts)
-    return _mix(out + _SEEDS)
+    return _mix(out + seeds)
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, class, words (hashed) -> an entry of each tree."""
+    """kind, class, words (hashed) -> an entry of each tree; with a fourth column, of so many trees beyond the first TREES."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
+            extra = part.column(3).to_numpy() if part.num_columns > 3 else None
+            trees = range(TREES) if extra is None else range(TREES, TREES + int(extra.max()))
             lists = part.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             starts = (lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()).astype(np.int64)
-            values = _signatures(flat, starts)
+            values = _signatures(flat, starts, trees.stop)
             n = len(starts)
             bits = np.zeros((n, _WORDS * 64), np.uint8)
-            bits[:, :_BITS] = values & np.uint64(1)
+            bits[:, :_BITS] = values[:, :_BITS] & np.uint64(1)
             sketch = np.packbits(bits, axis=1).tobytes()
             width = _WORDS * 8
             sketches = pa.array([sketch[i * width : (i + 1) * width] for i in range(n)], pa.binary())
-            labels = (values >> np.uint64(1)).astype(">u2").reshape(n, TREES, DEPTH)
-            for t in range(TREES):
+            labels = (values >> np.uint64(1)).astype(">u2").reshape(n, trees.stop, DEPTH)
+            for t in trees:
                 key = np.ascontiguousarray(labels[:, t]).tobytes()
                 keys = pa.array([key[i * DEPTH * 2 : (i + 1) * DEPTH * 2] for i in range(n)], pa.binary())
                 spread = pa.array([key[i * DEPTH * 2 : i * DEPTH * 2 + SPREAD * 2] for i in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(n, t, np.int32)), spread, keys, part.column(1), sketches], ["kind", "tree", "spread", "key", "class", "sketch"])
+                entries = pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(n, t, np.int32)), spread, keys, part.column(1), sketches], ["kind", "tree", "spread", "key", "class", "sketch"])
+                yield entries if extra is None else entries.filter(pa.array(extra > t - TREES))
 
 
 def _runs(changed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +86,8 @@ def _runs(changed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.bincount(run)[run]
 
 
-def _neighbours(kinds: np.ndarray, labels: np.ndarray, sketches: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of sorted entries to check. kinds: tells trees and kinds apart."""
+def _neighbours(kinds: np.ndarray, labels: np.ndarray, sketches: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of sorted entries to check, and the prefix asked of each row. kinds: tells trees and kinds apart."""
     n = len(kinds)
     changed = np.ones(n, bool)
     changed[1:] = kinds[1:] != kinds[:-1]
@@ -94,7 +98,7 @@ def _neighbours(kinds: np.ndarray, labels: np.ndarray, sketches: np.ndarray, lea
         if d + 1 < SHALLOW:
             continue
         run, size = _runs(changed)
-        now = ~settled & ((size <= REGION) | (d + 1 == DEPTH))
+        now = ~settled & ((size <= most) | (d + 1 == DEPTH))
         region[now] = run[now] * DEPTH + d
         settled |= now
     a, b = [], []
@@ -109,11 +113,12 @@ def _neighbours(kinds: np.ndarray, labels: np.ndarray, sketches: np.ndarray, lea
             a.append(good)
             b.append(good + step)
         step += 1
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    pairs = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    return *pairs, region % DEPTH + 1
 
 
 def _search(threshold: float):
-    p = (1 + threshold) / 2
+    p, most = (1 + threshold) / 2, REGION  # read here: executors have the module's own value
     least = int(np.floor(_BITS * p - SLACK * np.sqrt(_BITS * p * (1 - p))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,18 +128,20 @@ def _search(threshold: float):
         def search(entries: pa.Table) -> Iterator[pa.RecordBatch]:
             n = entries.num_rows
             if n < 2:
-                return
+                return  # alone: nothing is separated from it
             kind = entries.column("kind").combine_chunks().dictionary_encode()
             if isinstance(kind, pa.ChunkedArray):
                 kind = kind.combine_chunks()
-            kinds = kind.indices.to_numpy().astype(np.int64) * TREES + entries.column("tree").to_numpy()
+            kinds = kind.indices.to_numpy().astype(np.int64) * (1 << 20) + entries.column("tree").to_numpy()
             labels = np.frombuffer(b"".join(entries.column("key").to_pylist()), ">u2").reshape(n, DEPTH)
             sketches = np.frombuffer(b"".join(entries.column("sketch").to_pylist()), np.uint64).reshape(n, _WORDS)
-            a, b = _neighbours(kinds, labels, sketches, least)
+            a, b, depth = _neighbours(kinds, labels, sketches, least, most)
             classes = entries.column("class").combine_chunks()
+            deep = np.nonzero(depth > SHALLOW)[0]
+            a, b, depth = np.concatenate([a, deep]), np.concatenate([b, deep]), np.concatenate([np.zeros(len(a), np.int64), depth[deep]])
             for at in range(0, len(a), 50_000):
                 x, y = pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([_take(entries.column("kind"), x), _take(classes, x), _take(classes, y)], ["kind", "class_a", "class_b"])
+                yield pa.RecordBatch.from_arrays([_take(entries.column("kind"), x), _take(classes, x), _take(classes, y), pa.array(depth[at : at + 50_000].astype(np.int32))], ["kind", "class_a", "class_b", "depth"])
 
         for batch in batches:
             held.append(batch)
@@ -172,10 +179,23 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes whose word sets have at least `threshold` of their union in common: kind, class_a, class_b, similarity."""
     hashed = sets.select("kind", "class", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    forest = hashed.mapInArrow(_plant, "kind string, tree int, spread binary, key binary, class binary, sketch binary")
     order = ["kind", "tree", "spread"]
-    found = forest.repartition(*order).sortWithinPartitions(*order, "key", "class").mapInArrow(_search(threshold), "kind string, class_a binary, class_b binary")
-    pairs = found.select("kind", F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct()
+
+    def search(planted: DataFrame) -> DataFrame:
+        """Pairs to check; a class with itself: how deep its regions are."""
+        forest = planted.mapInArrow(_plant, "kind string, tree int, spread binary, key binary, class binary, sketch binary")
+        found = forest.repartition(*order).sortWithinPartitions(*order, "key", "class").mapInArrow(_search(threshold), "kind string, class_a binary, class_b binary, depth int")
+        pairs = found.select("kind", F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "depth")
+        return pairs.groupBy("kind", "class_a", "class_b").agg(F.max("depth").alias("depth"))
+
+    first = cut(search(hashed))
+    pairs = first.where("class_a <> class_b").select("kind", "class_a", "class_b")
+    # as if every tree asked for the longest prefix met: sharing that is enough in any; a pair has the trees that both its sets have
+    trees = F.ceil(F.lit(float(np.log(MISS))) / F.log(1 - F.pow(F.lit(float(threshold)), "depth")))
+    deep = first.where("class_a = class_b").select("kind", F.col("class_a").alias("class"), (trees - TREES).cast("int").alias("extra")).where("extra > 0")
+    if not deep.isEmpty():
+        more = search(hashed.join(deep, ["kind", "class"]).select("kind", "class", "words", "extra"))
+        pairs = pairs.unionByName(more.where("class_a <> class_b").select("kind", "class_a", "class_b")).distinct()
     side = lambda x: sets.select("kind", F.col("class").alias(f"class_{x}"), F.col("words").alias(f"words_{x}"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     checked = pairs.join(side("a"), ["kind", "class_a"]).join(side("b"), ["kind", "class_b"]).withColumn("both", both)

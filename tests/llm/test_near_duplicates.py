@@ -70,3 +70,20 @@ def test_groups_are_components_with_copies_as_one_class(spark):
     assert len(got) == len(rows)
     assert len({got[f"c{k}"]["group"] for k in range(5)} | {got["copy3"]["group"]}) == 1
     assert got["copy1"]["class"] == got["c0"]["class"] and got["alone"]["n_links"] == 0 and got["alone"]["group"] == got["alone"]["class"]
+
+
+def test_pairs_at_the_threshold_in_a_dense_region(spark, monkeypatch):
+    from strandline.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "REGION", 8)
+    r = random.Random(7)
+    template = [f"w{i}" for i in range(50)]
+    rows = [("k", f"r{i:03}", " ".join(template + [f"x{j}" for j in r.sample(range(200), 11)]), None, 1) for i in range(250)]
+    want = brute(rows, 0.7)
+    at = want - brute(rows, 0.75)
+    got = {(x["id_a"], x["id_b"]) for x in similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got <= want and len(at) > 5000 and len(want) < 250 * 249 / 2
+    assert len(got & at) >= 0.998 * len(at)
+    monkeypatch.setattr(N, "MISS", 1.0)  # without further trees these are lost
+    few = {(x["id_a"], x["id_b"]) for x in similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(few & at) < 0.95 * len(at)
