@@ -302,3 +302,12 @@ def glossary_expansion(spark, sf_dir):
     terms = view(spark, sf_dir, "glossary_terms").where(~F.col("term").rlike(r"\s|[A-Z]") & ~F.col("term").rlike("(s|S)$"))
     match = F.array(F.struct("term", "definition", "aliases"))
     return terms.select("id", F.array_join(T.expand_with_glossary(F.col("term"), match), " | ").alias("variants"))
+
+
+# rows: case and singular variants of every term
+@R.query("glossary_expansion_whole")
+def glossary_expansion_whole(spark, sf_dir):
+    from strandline.functions import text as T
+
+    match = F.array(F.struct("term", "definition", "aliases"))
+    return view(spark, sf_dir, "glossary_terms").select("id", F.array_join(T.expand_with_glossary(F.col("term"), match), " | ").alias("variants"))

@@ -149,6 +149,12 @@ def detect_markdown(spark, sf_dir):
     return docs.select("doc_id", T.is_markdown(F.col("text")).alias("markdown"))
 
 
+# every document: line ends of all kinds are one for DuckDB's patterns, as they are for Spark's
+@R.query("detect_markdown_whole", f"SELECT doc_id, coalesce(text <> '' AND ({_MD} OR {_WEAK} >= 2), false) AS markdown FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)")
+def detect_markdown_whole(spark, sf_dir):
+    return view(spark, sf_dir, "documents").select("doc_id", T.is_markdown(F.col("text")).alias("markdown"))
+
+
 def _type(q: str) -> str:
     code = " OR ".join(f"regexp_matches({q}, '{p}')" for p in fixed.CODE_SIGNS)
     asked = " OR ".join(f"regexp_matches({q}, '{p}')" for p in fixed.QUESTION_SIGNS)
