@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import fixed
 from strandline.functions.vectors import boost, gate
+from strandline.operators.retrieval import best_of_each
 
 RETIRED = ("superseded", "deprecated")
 
@@ -51,16 +52,18 @@ def boosted(hits: DataFrame, project: str, min_score: float = fixed.MIN_SCORE, c
     return hits.withColumn("score", boost(F.col("score"), F.coalesce(F.col(column) == project, F.lit(False)))).where(F.col("score") >= min_score)
 
 
-def top_by_kind(hits: DataFrame, limits: dict[str, int], kind: str = "arch_kind", key: str = "id", default: int = 5) -> DataFrame:
-    """The best hits of every kind, as many as its limit; 0 leaves a kind out."""
+def top_by_kind(hits: DataFrame, limits: dict[str, int], kind: str = "arch_kind", key: str = "id", default: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """The best hits of every kind, as many as its limit; 0 leaves a kind out. by: columns that tell searches apart."""
     most = F.coalesce(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col(kind)], F.lit(default)) if limits else F.lit(default)
-    order = Window.partitionBy(kind).orderBy(F.col("score").desc(), key)
+    order = Window.partitionBy(*by, kind).orderBy(F.col("score").desc(), key)
     ranked = hits.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= max([default, *limits.values()])).where(F.col("rank") <= most)
 
 
-def overfetched(hits: DataFrame, keep, limit: int, key: str = "id", factor: int = 3) -> DataFrame:
-    """The limit best of those among the factor * limit best that a later filter keeps; may come out short."""
+def overfetched(hits: DataFrame, keep, limit: int, key: str = "id", factor: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """The limit best of those among the factor * limit best that a later filter keeps; may come out short. by: columns that tell searches apart."""
+    if by:
+        return best_of_each(best_of_each(hits, [*by], factor * limit, key).where(keep), [*by], limit, key)
     order = [F.col("score").desc(), key]
     return hits.orderBy(*order).limit(factor * limit).where(keep).orderBy(*order).limit(limit)
 

@@ -34,6 +34,14 @@ def _scores(ids: list, matrix: np.ndarray, k: int):
     return run
 
 
+def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Every row of the corpus with its cosine to each query: query_id, id, score. For what is ranked only after filters or boosts; see top_k for what takes part."""
+    some = F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull())
+    q = queries.where(some).select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
+    pairs = F.broadcast(q).join(corpus.where(some).select("id", "vector"), F.size("asked") == F.size("vector"))
+    return pairs.select("query_id", "id", F.round(V.cosine(F.col("asked"), F.col("vector")), 6).alias("score"))
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """The k most similar rows of the corpus for each query, by cosine: query_id, id, score, rank.
 
@@ -70,16 +78,29 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def merge_variations(hits: DataFrame, limit: int, key: str = "hash") -> DataFrame:
-    """Hits of several variations (variation, key, score): the best score of each key and the variation that first found it, the best first."""
-    best = hits.groupBy(key).agg(F.max("score").alias("score"), F.min("variation").alias("first_variation"))
+def best_of_each(rows: DataFrame, by: list[str], limit: int, key: str) -> DataFrame:
+    """The limit best rows, by score and key, of every group."""
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), key)
+    return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit).drop("rn")
+
+
+def merge_variations(hits: DataFrame, limit: int, key: str = "hash", by: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of several variations (variation, key, score): the best score of each key and the variation that first found it, the best first.
+
+    by: columns that tell searches apart; each has its own limit.
+    """
+    best = hits.groupBy(*by, key).agg(F.max("score").alias("score"), F.min("variation").alias("first_variation"))
+    if by:
+        return best_of_each(best, [*by], limit, key)
     return best.orderBy(F.col("score").desc(), key).limit(limit)
 
 
-def first_seen(hits: DataFrame, limit: int, key: str = "hash", place: str = "place") -> DataFrame:
-    """Hits of several groups (place, rank, key, score) without repeats: the first occurrence by place and rank counts, not the best."""
-    order = Window.partitionBy(key).orderBy(place, "rank")
+def first_seen(hits: DataFrame, limit: int, key: str = "hash", place: str = "place", by: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of several groups (place, rank, key, score) without repeats: the first occurrence by place and rank counts, not the best. by: as in merge_variations."""
+    order = Window.partitionBy(*by, key).orderBy(place, "rank")
     kept = hits.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    if by:
+        return best_of_each(kept, [*by], limit, key)
     return kept.orderBy(F.col("score").desc(), key).limit(limit)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import fixed
@@ -311,3 +312,81 @@ def glossary_expansion_whole(spark, sf_dir):
 
     match = F.array(F.struct("term", "definition", "aliases"))
     return view(spark, sf_dir, "glossary_terms").select("id", F.array_join(T.expand_with_glossary(F.col("term"), match), " | ").alias("variants"))
+
+
+# The same searches for the whole query set. A search of several variations asks with the vectors of its id, the next and the one after.
+_ASKED = "a.vec_id % 100 = 0"
+_ALL_HITS = f"""hits AS (SELECT v.query_id, v.variation, p.hash, p.vec_id, round({_SIM.replace('a.vector', 'v.vector').replace('b.vector', 'p.vector')}, 6) AS score FROM
+    (SELECT a.vec_id AS query_id, b.vec_id - a.vec_id AS variation, b.vector FROM points a JOIN points b ON b.vec_id BETWEEN a.vec_id AND a.vec_id + 2 WHERE {_ASKED}) v CROSS JOIN points p),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, variation ORDER BY score DESC, vec_id) AS rank FROM hits)"""
+
+
+def _all_hits(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    hits = S.scored(p.where("vec_id % 100 < 3"), p).join(p.select("id", "hash"), "id")
+    hits = hits.withColumn("variation", F.col("query_id") % 100).withColumn("query_id", F.col("query_id") - F.col("variation"))
+    order = Window.partitionBy("query_id", "variation").orderBy(F.col("score").desc(), "id")
+    return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 20")
+
+
+@R.query("expanded_search_merge_whole", oracle(f"WITH {_ALL_HITS} SELECT query_id, hash, score, first_variation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash) AS rn FROM (SELECT query_id, hash, max(score) AS score, min(variation) AS first_variation FROM ranked WHERE rank <= 20 GROUP BY 1, 2)) WHERE rn <= 10"))
+def expanded_search_merge_whole(spark, sf_dir):
+    return S.merge_variations(_all_hits(spark, sf_dir), 10, by=("query_id",))
+
+
+@R.query("cross_group_dedupe_whole", oracle(f"WITH {_ALL_HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, hash ORDER BY variation, rank) AS rn FROM ranked WHERE rank <= 20) SELECT query_id, hash, variation, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash) AS r FROM f WHERE rn = 1) WHERE r <= 10"))
+def cross_group_dedupe_whole(spark, sf_dir):
+    return S.first_seen(_all_hits(spark, sf_dir), 10, place="variation", by=("query_id",)).select("query_id", "hash", "variation", "score")
+
+
+@R.query(
+    "project_boost_whole",
+    oracle(f"""SELECT query_id, id, project, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, b.scope_project AS project, least(1.0, round({_SIM}, 6) + CASE WHEN b.scope_project = 'p3' THEN 0.05 ELSE 0 END) AS score
+        FROM points a CROSS JOIN points b WHERE {_ASKED}) WHERE score >= 0.1"""),
+)
+def project_boost_whole(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    hits = S.scored(p.where("vec_id % 100 = 0"), p).join(p.select("id", F.col("scope_project").alias("project")), "id").select("query_id", "id", "project", "score")
+    return M.boosted(hits, "p3", 0.1).withColumn("score", F.round("score", 6))
+
+
+@R.query(
+    "arch_context_whole",
+    oracle(f"""SELECT query_id, arch_kind, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, arch_kind ORDER BY score DESC, id) AS rank FROM (
+        SELECT a.vec_id AS query_id, b.arch_kind, b.vec_id AS id, round({_SIM}, 6) AS score FROM points a CROSS JOIN points b WHERE {_ASKED} AND coalesce(b.status, '') NOT IN ('superseded', 'deprecated')
+        AND (b.scope_project = 'p3' OR (b.arch_kind <> 'component' AND b.scope_project IS NULL)))) WHERE rank <= CASE arch_kind WHEN 'decision' THEN 3 WHEN 'lesson' THEN 0 ELSE 5 END"""),
+)
+def arch_context_whole(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    cards = M.visible(M.current(p), "p3", column="scope_project")
+    hits = S.scored(p.where("vec_id % 100 = 0"), cards).join(cards.select("id", "arch_kind"), "id")
+    return M.top_by_kind(hits, {"decision": 3, "lesson": 0}, by=("query_id",)).select("query_id", "arch_kind", "id", "score", "rank")
+
+
+@R.query(
+    "overfetch_then_filter_whole",
+    oracle(f"""SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
+        SELECT a.vec_id AS query_id, b.vec_id AS id, b.scope_project, round({_SIM}, 6) AS score FROM points a CROSS JOIN points b WHERE {_ASKED})) WHERE rn <= 30 AND scope_project IS NULL) WHERE r <= 10"""),
+)
+def overfetch_then_filter_whole(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    hits = S.scored(p.where("vec_id % 100 = 0"), p).join(p.select("id", "scope_project"), "id")
+    return M.overfetched(hits, F.col("scope_project").isNull(), 10, by=("query_id",)).select("query_id", "id", "score")
+
+
+# each vector asks together with the first text query
+@R.query(
+    "hybrid_search_whole",
+    oracle(f"""WITH {_BM.strip()},
+    de AS (SELECT * FROM (SELECT a.vec_id AS query_id, t.grp, t.id, row_number() OVER (PARTITION BY a.vec_id, t.grp ORDER BY round({_SIM}, 6) DESC, t.id) AS rank FROM points a CROSS JOIN points b JOIN t ON t.id = b.vec_id WHERE {_ASKED}) WHERE rank <= 20),
+    f AS (SELECT query_id, grp, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, grp, id, rank FROM de UNION ALL SELECT a.vec_id, sp.grp, sp.id, sp.rank FROM sp CROSS JOIN points a WHERE sp.query_id = 1 AND {_ASKED}) GROUP BY 1, 2, 3)
+    SELECT query_id, grp, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, grp ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 8"""),
+)
+def hybrid_search_whole(spark, sf_dir):
+    p, parts = _points(spark, sf_dir), _parts(spark, sf_dir).select("grp", "id")
+    asked = p.where("vec_id % 100 = 0")
+    order = Window.partitionBy("query_id", "grp").orderBy(F.col("score").desc(), "id")
+    ranked = lambda rows, k: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    dense = ranked(S.scored(asked, p).join(parts, "id"), 20)
+    sparse = _sparse(spark, sf_dir).where("query_id = 1").drop("query_id").join(asked.select(F.col("id").alias("query_id")), F.lit(True))
+    return ranked(S.rrf([dense, sparse], ["query_id", "grp", "id"]), 8).select("query_id", "grp", "id", "score", "rank")

@@ -117,3 +117,13 @@ def test_embedding_and_cache(spark):
     assert c.get("3") is None and c.get("2") == "2"
     now[0] = 9
     assert c.get("2") is None
+
+
+def test_whole_searches_ask_for_every_query(spark, sf):
+    from strandline.plans.retrieval import R
+    from strandline.views import view
+
+    asked = {r["vec_id"] for r in view(spark, sf, "points").where("vec_id % 100 = 0").collect()}
+    assert len(asked) > 3
+    for name in ("expanded_search_merge", "cross_group_dedupe", "hybrid_search", "project_boost", "arch_context", "overfetch_then_filter"):
+        assert {r["query_id"] for r in R.queries[f"{name}_whole"](spark, sf).select("query_id").distinct().collect()} == asked, name
