@@ -161,6 +161,17 @@ def neighbour_merge(spark, sf_dir):
     return S.with_neighbours(parts.where("idx % 3 = 0").select("doc_id", "idx"), parts).withColumn("content", F.md5("content"))
 
 
+# every paragraph as a hit
+@R.query(
+    "neighbour_merge_whole",
+    oracle(f"""WITH {_PARA} SELECT h.doc_id, h.idx::INT AS hit, md5(string_agg(p.content, chr(10) || chr(10) ORDER BY p.idx)) AS content, min(p.idx * 10)::INT AS start_line, max(p.idx * 10 + 9)::INT AS end_line
+    FROM pp h JOIN pp p ON p.doc_id = h.doc_id AND p.idx BETWEEN h.idx - 1 AND h.idx + 1 GROUP BY 1, 2"""),
+)
+def neighbour_merge_whole(spark, sf_dir):
+    parts = _paragraphs(spark, sf_dir)
+    return S.with_neighbours(parts.select("doc_id", "idx"), parts).withColumn("content", F.md5("content"))
+
+
 @R.query("best_per_document", oracle(f"WITH {_PARA} SELECT doc_id, idx::INT AS idx, length(content)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, idx) AS rn FROM pp) WHERE rn = 1"))
 def best_per_document(spark, sf_dir):
     hits = _paragraphs(spark, sf_dir).select("doc_id", "idx", F.length("content").cast("double").alias("score"))
