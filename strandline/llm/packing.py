@@ -1,16 +1,21 @@
 """Filling containers of fixed capacity by deficit round-robin over sources.
 
-Every container adds to each source's deficit its target share of the capacity; the source with the
-greatest deficit gives its largest item that still fits. The last stretch of a container goes to the item
-that fills it best, whatever its source; what a source thereby lacks or has too much stays in its deficit
-for the containers to come. Items are spread over packers by a hash, so each packer has nearly the
-corpus's mixture, however large one source is; what a packer's supply departs from its targets is known
-beforehand from sums by packer and source, and is carried on as the next packers' opening deficits.
+A packer draws each source's items in hashed order. Every container adds to each source's deficit its target
+share of the capacity; the source with the greatest deficit gives its next item that fits. Once what is
+left is within CLOSE times the mean size of the items, the neediest source with an item that all but fills it
+closes the container. Sizes are thus drawn alike from first to last, and what a source lacks or has too much
+stays in its deficit for the containers to come. Items are spread over packers by a hash, so each packer has
+nearly the corpus's mixture, however large one source is; what a packer's supply departs from its targets is
+known beforehand from sums by packer and source, and is carried on as the next packers' opening deficits.
+
+An item larger than its source's share of the capacity puts its container off the targets by the difference,
+whatever the packing; `mixture` reports that bound beside what was reached.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import insort
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +28,12 @@ from strandline.session import fresh_dir
 
 #: Items of a packer, about.
 PACKER_ITEMS = 25_000
-#: The share of a container that is left to the item that fills it best.
-LAST_STRETCH = 0.35
+#: A container is closed by a fitting item once so many mean items of the packer would fill it, with at most SLACK of it left.
+CLOSE, SLACK = 2.0, 0.004
+#: Items of a source that are looked at, in order, for the next that fits.
+LOOK = 32
+#: Containers in a row over which the mixture is reported besides.
+RUN = 16
 #: Kinds of windows that are filled at once.
 MAX_WINDOWS = 100
 _PACKED = "window_name string, container string, doc_id long, piece int, token_start long, n_tokens long, position long"
@@ -47,48 +56,80 @@ def token_sizes(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: s
 
 
 class Queue:
-    """Items of one source by size; takes the largest that fits."""
+    """Items of one source in the order put; gives the next that fits, or the largest."""
 
     def __init__(self):
         self.sizes = 0  # bit n is set while there is an item of size n
-        self.items: dict[int, list] = defaultdict(list)
+        self.order: list[int] = []  # sizes, 0 once taken
+        self.at = 0
+        self.items: dict[int, deque] = defaultdict(deque)
 
     def put(self, size: int, item) -> None:
-        self.items[size].append(item)
+        self.items[size].append((len(self.order), item))
+        self.order.append(size)
         self.sizes |= 1 << size
 
-    def fitting(self, room: int) -> int:
+    def largest(self, room: int) -> int:
         """The largest size that fits, 0 if none."""
         return (self.sizes & ((2 << room) - 1)).bit_length() - 1 if self.sizes & ((2 << room) - 1) else 0
 
+    def next(self, room: int) -> int:
+        """The size of the first of the next LOOK items that fits, 0 if none."""
+        while self.at < len(self.order) and not self.order[self.at]:
+            self.at += 1
+        seen = 0
+        for k in range(self.at, len(self.order)):
+            if size := self.order[k]:
+                if size <= room:
+                    return size
+                seen += 1
+                if seen == LOOK:
+                    break
+        return 0
+
     def take(self, size: int):
-        item = self.items[size].pop()
+        """The first item of a size."""
+        k, item = self.items[size].popleft()
+        self.order[k] = 0
         if not self.items[size]:
             self.sizes ^= 1 << size
         return item
 
 
+def _choose(needy: list[tuple], queues: dict, room: int, closing: bool, slack: float) -> tuple[int, int]:
+    """Which of the sources, the neediest first, gives an item of what size; size 0 if none fits."""
+    if closing:
+        for i, (_, s) in enumerate(needy):
+            size = queues[s].largest(room)
+            if size and room - size <= slack:
+                return i, size
+    for i, (_, s) in enumerate(needy):
+        if size := queues[s].next(room):
+            return i, size
+    return max(((i, queues[s].largest(room)) for i, (_, s) in enumerate(needy)), key=lambda c: c[1], default=(0, 0))
+
+
 def pack_items(queues: dict, shares: dict, deficits: dict, capacity: int) -> Iterator[list]:
     """Containers, each a list of (size, item). Changes its arguments; every item comes out once."""
     live = [s for s, q in queues.items() if q.sizes]
+    sizes = [n for q in queues.values() for n in q.order]
+    near = CLOSE * sum(sizes) / max(1, len(sizes))
     while live:
         room, held = capacity, []
         for s in deficits:
             deficits[s] += shares.get(s, 0.0) * capacity
-        while room:
-            fits = [(queues[s].fitting(room), s) for s in live]
-            if room <= capacity * LAST_STRETCH and held:
-                best = max(((n, deficits[s], s) for n, s in fits if n), default=None)
-                size, source = (best[0], best[2]) if best else (0, None)
-            else:
-                best = max(((deficits[s], n, s) for n, s in fits if n), default=None)
-                size, source = (best[1], best[2]) if best else (0, None)
+        needy = sorted((-deficits[s], s) for s in live)
+        while room and needy:
+            i, size = _choose(needy, queues, room, room <= near, SLACK * capacity)
             if not size:
                 break
+            source = needy.pop(i)[1]
             held.append((size, queues[source].take(size)))
             deficits[source] -= size
             room -= size
-            if not queues[source].sizes:
+            if queues[source].sizes:
+                insort(needy, (-deficits[source], source))
+            else:
                 live.remove(source)
         yield held
 
@@ -175,5 +216,59 @@ def pack(sizes: DataFrame, windows: DataFrame, shares: dict[str, float] | None =
     opening = grid.select("window_name", "packer", "source", "share", carried.alias("deficit"), F.col("capacity").cast("int"), none("long").alias("doc_id"), none("int").alias("piece"), none("long").alias("token_start"), none("long").alias("n_tokens"))
     given = items.select("window_name", "packer", "source", none("double").alias("share"), none("double").alias("deficit"), "capacity", "doc_id", "piece", "token_start", "n_tokens")
     place = ["window_name", "packer"]
-    ordered = opening.unionByName(given).repartition(*place).sortWithinPartitions(*place, F.col("share").isNull(), "source", "doc_id", "piece")
+    ordered = opening.unionByName(given).repartition(*place).sortWithinPartitions(*place, F.col("share").isNull(), F.xxhash64(F.lit("order"), "doc_id", "piece"), "doc_id", "token_start")
     return ordered.mapInArrow(_pack, _PACKED).unionByName(full).unionByName(empty)
+
+
+def fill(packed: DataFrame, sizes: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row for each window: what a packing holds and whether it is sound.
+
+    n_docs: rows of sizes placed; n_over: containers above the capacity; n_divided: texts in more pieces than
+    their size needs; n_wrong: texts whose pieces don't make up their size; n_apart: containers with an item that
+    doesn't begin where the one before ends; containers, filled (share of their room that is used), least
+    (containers that the tokens need at least). doc_id has to be unique and not null.
+    """
+    kinds = F.broadcast(windows.where(F.col("capacity_tokens") > 0).groupBy("window_name").agg(F.max("capacity_tokens").alias("capacity")))  # the bound is pack's
+    before = F.lag(F.col("position") + F.col("n_tokens"), 1, 0).over(Window.partitionBy("window_name", "container").orderBy("position"))
+    inside = packed.where(F.col("container").isNotNull()).withColumn("apart", (F.col("position") != before).cast("int"))
+    boxes = inside.groupBy("window_name", "container").agg(F.sum("n_tokens").alias("used"), F.max("apart").alias("apart")).join(kinds, "window_name")
+    boxes = boxes.groupBy("window_name").agg(
+        F.sum((F.col("used") > F.col("capacity")).cast("int")).alias("n_over"), F.sum("apart").alias("n_apart"), F.count("*").alias("containers"), (F.sum("used") / F.sum("capacity")).alias("filled")
+    )
+    docs = packed.groupBy("window_name", "doc_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces")).join(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n")), "doc_id").join(kinds, "window_name")
+    docs = docs.groupBy("window_name").agg(
+        F.count("*").alias("n_docs"),
+        F.sum((F.col("used") != F.col("n")).cast("int")).alias("n_wrong"),
+        F.sum((F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity")))).cast("int")).alias("n_divided"),
+        F.ceil(F.sum("n") / F.first("capacity")).alias("least"),
+    )
+    return docs.join(boxes, "window_name").select("window_name", "n_docs", "n_over", "n_divided", "n_wrong", "n_apart", "containers", "filled", "least")
+
+
+def mixture(packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """How far containers of divided texts' rests and whole texts lie from the corpus's proportions, one row for each window.
+
+    distance: mean total-variation distance of a container; bound: what no packing of these items can go below;
+    first, last: distance of the first and last tenth of each packer's containers; items_first, items_last: items
+    in these; run_distance: distance of RUN containers in a row. Other columns are ignored; doc_id has to be unique.
+    """
+    rows = packed.where(F.col("container").isNotNull() & ~F.col("container").startswith("full-")).join(sizes.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
+    rows = rows.select("window_name", "source", F.col("n_tokens").alias("n"), *(F.split_part("container", F.lit("-"), F.lit(i)).cast("long").alias(c) for i, c in ((1, "packer"), (2, "no"))))
+    total = rows.groupBy("window_name", "source").agg(F.sum("n").alias("all"))
+    shares = F.broadcast(total.withColumn("share", F.col("all") / F.sum("all").over(Window.partitionBy("window_name"))).drop("all"))  # sources by windows, as in pack
+
+    def distances(*place: str) -> DataFrame:
+        """Half the sum of the differences: of sources met, their excess."""
+        by = rows.groupBy("window_name", *place, "source").agg(F.sum("n").alias("n"), F.count("*").alias("items")).join(shares, ["window_name", "source"])
+        excess = F.col("n") / F.sum("n").over(Window.partitionBy("window_name", *place)) - F.col("share")
+        return by.withColumn("excess", F.greatest(excess, F.lit(0.0))).groupBy("window_name", *place).agg(F.sum("excess").alias("distance"), F.sum("items").alias("items"), F.sum("n").alias("used"))
+
+    one = distances("packer", "no").withColumn("at", F.percent_rank().over(Window.partitionBy("window_name", "packer").orderBy("no")))
+    at = lambda c, cond: F.avg(F.when(cond, F.col(c)))
+    first, last = F.col("at") < 0.1, F.col("at") > 0.9
+    ones = one.groupBy("window_name").agg(F.avg("distance").alias("distance"), at("distance", first).alias("first"), at("distance", last).alias("last"), at("items", first).alias("items_first"), at("items", last).alias("items_last"), F.sum("used").alias("used"), F.max("used").alias("largest"))
+    rows = rows.withColumn("run", F.floor(F.col("no") / RUN))
+    runs = distances("packer", "run").groupBy("window_name").agg(F.avg("distance").alias("run_distance"))
+    beyond = rows.join(shares, ["window_name", "source"]).join(F.broadcast(ones.select("window_name", "largest")), "window_name")
+    beyond = beyond.groupBy("window_name").agg((F.sum(F.greatest(F.lit(0.0), F.col("n") - F.col("share") * F.col("largest"))) / F.sum("n")).alias("bound"))
+    return ones.join(runs, "window_name").join(beyond, "window_name").select("window_name", "distance", "bound", "first", "last", "items_first", "items_last", "run_distance")

@@ -8,12 +8,12 @@ from strandline.llm.encoding import encode_corpus
 from strandline.llm.frequent import top_values, top_with_text
 from strandline.llm.near_duplicates import groups, similar_pairs
 from strandline.llm.non_source import non_source
-from strandline.llm.packing import pack, token_sizes
+from strandline.llm.packing import PACKER_ITEMS, fill, mixture, pack, token_sizes
 from strandline.llm.reading_level import reading_levels
 from strandline.llm.similar_vectors import nearest
 from strandline.llm.splitting import split_oversized
 from strandline.plans.registry import Registry
-from strandline.session import table
+from strandline.session import fresh_dir, table
 
 R = Registry()
 
@@ -112,6 +112,32 @@ def p9_packed(spark, sf_dir):
     return pack(token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "token_windows"))
 
 
+def _written_packing(spark, sf_dir):
+    sizes, windows, path = token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "token_windows"), fresh_dir(spark, "packed")
+    sizes.write.parquet(f"{path}/sizes")
+    sizes = spark.read.parquet(f"{path}/sizes")
+    pack(sizes, windows).write.parquet(f"{path}/packed")
+    return spark.read.parquet(f"{path}/packed"), sizes, windows
+
+
+@R.query(
+    "p9_fill",
+    """
+SELECT window_name, (SELECT count(*) FROM documents) AS n_docs, 0 AS n_over, 0 AS n_divided, 0 AS n_wrong, 0 AS n_apart, true AS tight
+FROM token_windows WHERE capacity_tokens > 0
+""",
+)
+def p9_fill(spark, sf_dir):
+    tight = F.col("containers") <= F.ceil(F.col("least") * 1.01) + 1 + F.floor(F.col("n_docs") / PACKER_ITEMS)  # each packer may leave one open
+    return fill(*_written_packing(spark, sf_dir)).select("window_name", "n_docs", "n_over", "n_divided", "n_wrong", "n_apart", tight.alias("tight"))
+
+
+@R.query("p9_mixture")
+def p9_mixture(spark, sf_dir):
+    packed, sizes, _ = _written_packing(spark, sf_dir)
+    return mixture(packed, sizes)
+
+
 def _levels(spark, sf_dir):
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_levels"))
 

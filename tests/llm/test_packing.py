@@ -72,3 +72,22 @@ def test_given_shares_nulls_and_empty(spark):
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (2, None, None), (3, "", "s")], "doc_id long, text string, source string")
     assert {r["doc_id"]: r["n_tokens"] for r in P.token_sizes(df).collect()} == {1: 2, 2: 0, 3: 0}
+
+
+def test_first_and_last_containers_are_alike(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice(["hot", "hot", "a", "b", "c"]), int(r.lognormvariate(5, 1)), "x", "y") for i in range(6000)]
+    df, windows = spark.createDataFrame(rows, SIZES), spark.createDataFrame([("w", 8192)], WINDOWS)
+    packed = P.pack(df, windows)
+    m, f = P.mixture(packed, df).first(), P.fill(packed, df, windows).first()
+    assert m["bound"] <= m["distance"] < m["bound"] + 0.1 and abs(m["first"] - m["last"]) < 0.06 and m["run_distance"] < 0.06
+    assert abs(m["items_first"] / m["items_last"] - 1) < 0.3
+    assert (f["n_docs"], f["n_over"], f["n_divided"], f["n_wrong"], f["n_apart"]) == (6000, 0, 0, 0, 0) and f["filled"] > 0.985
+
+
+def test_fill_sees_what_is_wrong(spark):
+    schema = "window_name string, container string, doc_id long, piece int, token_start long, n_tokens long, position long"
+    packed = spark.createDataFrame([("w", "0-0", 1, 0, 0, 6, 0), ("w", "0-0", 2, 0, 0, 6, 7), ("w", "0-1", 3, 0, 0, 2, 0), ("w", "0-2", 3, 1, 2, 2, 0), ("w", "0-3", 4, 0, 0, 1, 0)], schema)
+    df = spark.createDataFrame([(1, "a", 6), (2, "a", 6), (3, "a", 4), (4, "a", 2)], "doc_id long, source string, n_tokens long")
+    f = P.fill(packed, df, spark.createDataFrame([("w", 10)], WINDOWS)).first()
+    assert (f["n_over"], f["n_divided"], f["n_wrong"], f["n_apart"], f["containers"], f["least"]) == (1, 1, 1, 1, 4, 2)
