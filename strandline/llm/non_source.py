@@ -2,9 +2,13 @@
 
 Each file is lexed and re-emitted in a canonical layout, one statement a line. How the original departs
 from that tells its kind: a file that expands extremely was minified, one whose lines are all made by the
-same few templates was generated, one that is nearly all literals is data. What a tool or a third party
-says of a file stands in comment lines, at its head, its foot or between; only comments count, so code that
-writes or mentions such a notice doesn't. A copy whose notice was taken off is known by its canonical code.
+same few templates was generated, one that is nearly all literals is data. A copy is known by its canonical
+statements: runs of RUN of them, thinned by winnowing, that also stand in another project's files. Layout, names
+of files and comments don't enter there, and a local change alters only the runs across it.
+
+What a tool or a third party says of a file, in a comment line anywhere in it or by the folder it lies in, counts
+besides; it is all there is to tell of generated files of varied code and of copies met only once. Only comments
+count, so code that writes or mentions such a notice doesn't.
 """
 
 from __future__ import annotations
@@ -22,16 +26,21 @@ from strandline.session import fresh_dir
 
 #: Canonical lines for each original line, and characters of an original line, from which a file is minified.
 EXPANSION, LONG = 8.0, 250.0
-#: Share of lines made by a template used REPEATS times or more, from which a file of LEAST_LINES is generated.
-UNIFORM, REPEATS, LEAST_LINES = 0.6, 4, 10
-#: Share of literals in the code, from which a file of LEAST_CODE characters is data.
-LITERAL, LEAST_CODE = 0.65, 300
+#: Share of lines made by a template used REPEATS times or more, from which a file is generated.
+UNIFORM, REPEATS = 0.6, 4
+#: Share of literals in the code, from which a file is data.
+LITERAL = 0.65
+#: Little code tells little: so many characters and lines of ordinary code are reckoned in with every file's.
+PRIOR, PRIOR_LINES = 40, 4
+#: Statements of a run; of WINDOW runs on end the least is kept, so RUN + WINDOW - 1 shared statements are always met.
+RUN, WINDOW = 8, 4
+#: Share of a file's runs met in other projects, from which it is a copy.
+COPIED = 0.5
 
-# What notices say, in the words in use, and folders that hold copies.
 GENERATED = re.compile(
     r"(?i)^(?!note\b)(?:.*\bauto-?generated\b|.*@generated\b|(?:the |this )?(?:code|file|source)s?(?: was| is)? generated\b|generated (?:by|from|with|using)\b|machine[- ]generated\b"
-    r"|.*\b(?:automatically|mechanically) (?:produced|generated|created|written)\b|.*\bdo not (?:edit|modify|change) (?:by hand|manually)\b|.*\bdo not edit\b.*\b(?:generated|regenerate)|.*\bgenerated\b.*\bdo not edit\b"
-    r"|.*\bautomatisch (?:erzeugt|generiert|erstellt)\b|.*\bgénéré automatiquement\b|.*\b(?:generado|creado) automáticamente\b)"
+    r"|.*\b(?:automatically|mechanically) (?:produced|generated|created|written)\b|.*\b(?:produit|généré|créé|écrit)e?s? automatiquement\b|.*\bdo not (?:edit|modify|change) (?:by hand|manually)\b|.*\bdo not edit\b.*\b(?:generated|regenerate)|.*\bgenerated\b.*\bdo not edit\b"
+    r"|.*\bautomatisch (?:erzeugt|generiert|erstellt)\b|.*\b(?:generado|creado) automáticamente\b)"
 )
 THIRD_PARTY = re.compile(
     r"(?i)^(?!note\b)(?:.*\b(?:re)?distributed under\b|.*\blicen[cs]ed under\b|upstream\s*:|.*\bupstream licen[cs]e\b|.*\bspdx-license-identifier\b|copyright .*\bcontributors\b|permission is hereby granted\b|\S+ v?\d+(?:\.\d+)+ \| .*\| *https?://)"
@@ -52,7 +61,9 @@ _DIGITS = re.compile(r"\d+")
 _HERE = re.compile(r"<<[-~]?[ \t]*['\"]?([A-Z_]\w*)")
 _LINE = re.compile(r"\r\n|\r|\n")
 _BARE = re.compile(r"^[/#*\-\s!<;]+|[\s*/>]+$")
-VERDICTS = "file_id long, group_name string, project_name string, file string, isNonSource boolean, reason string, expansion double, uniformity double, literal_share double, code_key long, own boolean"
+VERDICTS = (
+    "file_id long, group_name string, project_name string, file string, layout string, notice string, expansion double, uniformity double, literal_share double, code_key long, owner long, runs array<long>"
+)
 
 
 def lex(text: str, hashes: bool) -> tuple[list[str], str, int]:
@@ -95,10 +106,17 @@ def comment_lines(text: str, hashes: bool) -> list[str]:
     return found
 
 
-def judge(text: str | None, file: str | None, language: str | None) -> tuple[str | None, float, float, float, int | None]:
-    """The reason why a file is no source (None if it is), its expansion, uniformity and share of literals, and a key of its code.
+def runs_of(statements: list[str]) -> list[int]:
+    """Hashes of the winnowed runs of RUN canonical statements; of fewer statements the one run they make."""
+    one = [xxhash.xxh3_64_intdigest(s.encode()) for s in statements]
+    every = [xxhash.xxh3_64_intdigest(b"".join(h.to_bytes(8, "little") for h in one[i : i + RUN])) >> 1 for i in range(max(1, len(one) - RUN + 1))] if one else []
+    return sorted({min(every[i : i + WINDOW]) for i in range(max(1, len(every) - WINDOW + 1))} if every else ())
+
+
+def judge(text: str | None, file: str | None, language: str | None) -> tuple[str | None, str | None, float, float, float, list[str]]:
+    """What the layout of a file tells (None: source), what it says of itself, its expansion, uniformity and share of literals, and its canonical statements.
 
-    Reasons: third_party, minified, data, generated.
+    Layout: minified, data or generated; of itself: third_party or generated.
     """
     text = (text or "").lstrip("\ufeff")
     file = file or ""
@@ -106,53 +124,60 @@ def judge(text: str | None, file: str | None, language: str | None) -> tuple[str
     _, code, strings = lex(text, hashes)
     originals = [s for line in _LINE.split(text) if (s := line.strip())]
     statements = canonical(code)
-    size = sum(map(len, statements)) + strings
     numbers = sum(len(n) for n in _NUMBER.findall(code))
     quoted = strings + 2 * code.count('""')
-    literal = (quoted + numbers) / max(1, len(re.sub(r"\s+", "", code)) + strings)
+    literal = (quoted + numbers) / (len(re.sub(r"\s+", "", code)) + strings + PRIOR)
     expansion = len(statements) / max(1, len(originals))
     templates = [_DIGITS.sub("0", s) for s in originals if len(s) >= 12]
     counts = Counter(templates)
-    uniformity = sum(n for n in counts.values() if n >= REPEATS) / max(1, len(templates))
+    uniformity = sum(n for n in counts.values() if n >= REPEATS) / (len(templates) + PRIOR_LINES)
+    layout = None
+    if expansion >= EXPANSION and len(text) / max(1, len(originals)) >= LONG:
+        layout = "minified"
+    elif literal >= LITERAL:
+        layout = "data"
+    elif uniformity >= UNIFORM:
+        layout = "generated"
     notices = comment_lines(text, hashes)
-    key = xxhash.xxh3_64_intdigest("\n".join(statements).encode()) >> 1 if len(statements) >= LEAST_LINES else None
-    reason = None
+    notice = None
     if THIRD_PARTY_FOLDERS.search(file) or any(THIRD_PARTY.search(c) for c in notices):
-        reason = "third_party"
+        notice = "third_party"
     elif any(GENERATED.search(c) for c in notices):
-        reason = "generated"
-    elif expansion >= EXPANSION and len(text) / max(1, len(originals)) >= LONG:
-        reason = "minified"
-    elif literal >= LITERAL and size >= LEAST_CODE:
-        reason = "data"
-    elif uniformity >= UNIFORM and len(templates) >= LEAST_LINES:
-        reason = "generated"
-    return reason, expansion, uniformity, literal, key
+        notice = "generated"
+    return layout, notice, expansion, uniformity, literal, statements
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in VERDICTS.split(", ")]
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            found = [judge(text, file, language) for file, language, text in zip(*(part.column(k).to_pylist() for k in (3, 4, 5)))]
-            reasons, expansion, uniformity, literal, keys = zip(*found)
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:4], pa.array([r is not None for r in reasons]), pa.array(reasons, pa.string()), pa.array(expansion), pa.array(uniformity), pa.array(literal), pa.array(keys, pa.int64()), pa.array([r == "third_party" for r in reasons])],
-                [c.split()[0] for c in VERDICTS.split(", ")],
-            )
+            group, project, file, language, text = (part.column(k).to_pylist() for k in range(1, 6))
+            layout, notice, expansion, uniformity, literal, statements = zip(*map(judge, text, file, language))
+            owners = [xxhash.xxh3_64_intdigest(repr(x).encode()) >> 1 for x in zip(group, project)]
+            keys = [xxhash.xxh3_64_intdigest("\n".join(x).encode()) >> 1 for x in statements]
+            columns = [pa.array(layout, pa.string()), pa.array(notice, pa.string()), pa.array(expansion), pa.array(uniformity), pa.array(literal), pa.array(keys), pa.array(owners), pa.array([runs_of(x) for x in statements], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names)
 
 
-def non_source(files: DataFrame) -> DataFrame:
-    """A verdict for every row: file_id, group_name, project_name, file, isNonSource, reason, expansion, uniformity, literal_share.
+def non_source(files: DataFrame, notices: bool = True) -> DataFrame:
+    """A verdict for every row: file_id, group_name, project_name, file, isNonSource, reason, expansion, uniformity, literal_share, copied_share.
 
-    Null and empty contents are source, for there is nothing to tell. Null paths and languages count as
-    unknown. Repeated rows are judged alike. Other columns are ignored.
+    reason: minified, data, generated or third_party, by layout first, then by copies, then by what the file says of
+    itself (left out without notices). Null and empty contents are source, for there is nothing to tell. Null paths
+    and languages count as unknown, null projects as one project. Repeated rows are judged alike. A file shared with
+    another project by RUN + WINDOW - 1 statements and by COPIED of its runs is a copy in both. Other columns are ignored.
     """
+    spark = files.sparkSession
     rows = files.select(F.col("file_id").cast("long").alias("file_id"), "group_name", "project_name", "file", "language", "content")
-    path = fresh_dir(files.sparkSession, "verdicts")
-    rows.mapInArrow(_judge, VERDICTS).write.parquet(path)  # without contents: read for the known copies and for the verdicts
-    verdicts = files.sparkSession.read.parquet(path)
-    known = verdicts.where(F.col("own") & F.col("code_key").isNotNull()).select("code_key", F.lit(True).alias("copied")).distinct()
-    named = verdicts.join(known, "code_key", "left")
-    reason = F.when(F.col("reason").isNull() & F.col("copied"), F.lit("third_party")).otherwise(F.col("reason"))
-    return named.select("file_id", "group_name", "project_name", "file", reason.isNotNull().alias("isNonSource"), reason.alias("reason"), "expansion", "uniformity", "literal_share")
+    path = fresh_dir(spark, "verdicts")
+    rows.mapInArrow(_judge, VERDICTS).write.parquet(path)  # without contents: read for the runs and for the verdicts
+    verdicts = spark.read.parquet(path)
+    owned = verdicts.select("owner", F.explode("runs").alias("run")).groupBy("run").agg(F.min("owner").alias("a"), F.max("owner").alias("b"))
+    shared = owned.where("a <> b").select("run")  # one row a run: a popular file's rows stream past it
+    codes = verdicts.where(F.size("runs") > 0).groupBy("code_key").agg(F.first("runs").alias("runs"))
+    met = codes.select("code_key", F.explode("runs").alias("run")).join(shared, "run").groupBy("code_key").agg(F.count("*").alias("met"))
+    judged = verdicts.join(met, "code_key", "left").withColumn("copied_share", F.coalesce(F.col("met") / F.size("runs"), F.lit(0.0)))
+    copy = F.when(F.col("copied_share") >= COPIED, F.lit("third_party"))
+    reason = F.coalesce("layout", copy, "notice") if notices else F.coalesce("layout", copy)
+    return judged.select("file_id", "group_name", "project_name", "file", reason.isNotNull().alias("isNonSource"), reason.alias("reason"), "expansion", "uniformity", "literal_share", "copied_share")
