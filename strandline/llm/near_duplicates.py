@@ -5,11 +5,13 @@ sets side by side; a set is compared with its neighbours for as long as they sha
 asked for starts at SHALLOW labels and grows where a region of the tree holds more than REGION sets, so
 that sparse regions are searched widely and dense ones closely. A longer prefix is shared more seldom, so
 sets in dense regions get further trees, as many as keep the chance to miss a pair at the threshold below
-MISS. Sets that share a whole key are all compared, however many they are. A comparison is of one-bit sketches, over whole columns at once; what
-passes is checked by its words.
+MISS. Sets that share a whole key are all compared, however many they are: nearly every pair of them is a
+link. A comparison is of one-bit sketches, over whole columns at once; what passes is checked by its words.
 
-Equal sets are one class from the start, so copies cost one entry however many they are. Regions are
-spread by tree and prefix, not by tree.
+Equal sets are one class from the start, so copies cost one entry however many they are. Entries meet by tree
+and prefix. Where a prefix of SHALLOW labels is frequent in a sample of SAMPLE sets, its entries meet by longer
+prefixes, down to the depth at which none is; as such a prefix holds more than REGION sets by far, no region is
+parted. The sample only places entries. A task reads its entries in order and holds one prefix's at most.
 """
 
 from __future__ import annotations
@@ -21,17 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import cut
+from strandline.session import cut, fresh_dir
 
 TREES, DEPTH, SHALLOW, REGION = 24, 10, 3, 384
 #: The greatest chance that a pair at the threshold shares no region, however dense these are.
 MISS = 0.001
-#: Labels that place a region's task.
-SPREAD = 2
+#: Sets that tell which prefixes are frequent, and how many of them a frequent prefix has at least.
+SAMPLE, FREQUENT = 4000, 8
+#: Entries that a task holds before it searches those whose regions are complete.
+HOLD = 200_000
 #: Sketch bits that must agree: those expected at the threshold less so many standard deviations.
 SLACK = 3.7
 _BITS = TREES * DEPTH
 _WORDS = -(-_BITS // 64)
+_KEY, _CLASS = DEPTH * 2, 16
+#: Bytes of an entry: key, class, sketch.
+_ENTRY = _KEY + _CLASS + _WORDS * 8
 
 
 def word_set(text) -> F.Column:
@@ -47,37 +54,88 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _signatures(flat: np.ndarray, starts: np.ndarray, trees: int) -> np.ndarray:
     """Min-hash values, one row for each set; flat: the hashed words of all sets."""
+    words, own = np.unique(flat, return_inverse=True)
     seeds = _mix(np.arange(1, trees * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out = np.empty((len(starts), len(seeds)), np.uint64)
+    out = np.empty((len(seeds), len(starts)), np.uint32)
     for j, seed in enumerate(seeds):
-        out[:, j] = np.minimum.reduceat(_mix(flat ^ seed), starts)
-    return _mix(out + seeds)
-
-
-def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, class, words (hashed) -> an entry of each tree; with a fourth column, of so many trees beyond the first TREES."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            extra = part.column(3).to_numpy() if part.num_columns > 3 else None
-            trees = range(TREES) if extra is None else range(TREES, TREES + int(extra.max()))
-            lists = part.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            starts = (lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()).astype(np.int64)
-            values = _signatures(flat, starts, trees.stop)
-            n = len(starts)
-            bits = np.zeros((n, _WORDS * 64), np.uint8)
-            bits[:, :_BITS] = values[:, :_BITS] & np.uint64(1)
-            sketch = np.packbits(bits, axis=1).tobytes()
-            width = _WORDS * 8
-            sketches = pa.array([sketch[i * width : (i + 1) * width] for i in range(n)], pa.binary())
-            labels = (values >> np.uint64(1)).astype(">u2").reshape(n, trees.stop, DEPTH)
-            for t in trees:
-                key = np.ascontiguousarray(labels[:, t]).tobytes()
-                keys = pa.array([key[i * DEPTH * 2 : (i + 1) * DEPTH * 2] for i in range(n)], pa.binary())
-                spread = pa.array([key[i * DEPTH * 2 : i * DEPTH * 2 + SPREAD * 2] for i in range(n)], pa.binary())
-                entries = pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(n, t, np.int32)), spread, keys, part.column(1), sketches], ["kind", "tree", "spread", "key", "class", "sketch"])
-                yield entries if extra is None else entries.filter(pa.array(extra > t - TREES))
+        out[j] = np.minimum.reduceat((_mix(words ^ seed) >> np.uint64(32)).astype(np.uint32)[own], starts)
+    return _mix(out.T + seeds)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of lists of longs, and where each list starts."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return flat, (lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()).astype(np.int64)
+
+
+def _places(kinds: np.ndarray, tree: int, labels: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of kind, tree and prefix, for prefixes of SHALLOW labels and more."""
+    at = _mix(kinds.view(np.uint64) + np.uint64(tree))
+    for d in range(DEPTH):
+        at = _mix(at ^ (labels[:, d].astype(np.uint64) + np.uint64(d << 16 | 1)))
+        if d + 1 >= SHALLOW:
+            yield at
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as Arrow binaries."""
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """Arrow binaries of one width as rows of bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
+
+
+def _plant(frequent: np.ndarray):
+    """kind (hashed), class, words (hashed) -> an entry of each tree; with a fourth column, of so many trees beyond the first TREES. frequent: sorted places to go beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                extra = part.column(3).to_numpy() if part.num_columns > 3 else None
+                trees = range(TREES) if extra is None else range(TREES, TREES + int(extra.max()))
+                values = _signatures(*_flat(part.column(2)), trees.stop)
+                n = part.num_rows
+                bits = np.zeros((n, _WORDS * 64), np.uint8)
+                bits[:, :_BITS] = values[:, :_BITS] & np.uint64(1)
+                labels = (values >> np.uint64(1)).astype(">u2").reshape(n, trees.stop, DEPTH)
+                entry = np.empty((n, _ENTRY), np.uint8)
+                entry[:, _KEY : _KEY + _CLASS] = _bytes(part.column(1), _CLASS)
+                entry[:, _KEY + _CLASS :] = np.packbits(bits, axis=1)
+                kinds = part.column(0).to_numpy()
+                for t in trees:
+                    own = slice(None) if extra is None else extra > t - TREES
+                    place = None
+                    for longer in _places(kinds, t, labels[:, t]):
+                        place = longer if place is None else np.where(further, longer, place)
+                        further = np.isin(place, frequent)
+                        if not further.any():
+                            break
+                    entry[:, :_KEY] = np.ascontiguousarray(labels[:, t]).view(np.uint8).reshape(n, _KEY)
+                    yield pa.RecordBatch.from_arrays([pa.array(place[own].view(np.int64)), _binary(entry[own])], ["place", "entry"])
+
+    return run
+
+
+def _frequent(hashed: DataFrame, trees: int) -> np.ndarray:
+    """Places whose prefix holds more than REGION sets by far, by a sample of about SAMPLE sets chosen by a hash."""
+    total = hashed.count()
+    few = hashed.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / max(SAMPLE, total))).toArrow()
+    if not few.num_rows or total <= 4 * REGION:
+        return np.zeros(0, np.uint64)
+    least = max(FREQUENT, 4 * REGION * few.num_rows / total)
+    kinds, found = few.column(0).to_numpy(), []
+    labels = (_signatures(*_flat(few.column(2).combine_chunks()), trees) >> np.uint64(1)).astype(np.uint16).reshape(few.num_rows, trees, DEPTH)
+    for t in range(trees):
+        for places in _places(kinds, t, labels[:, t]):
+            values, counts = np.unique(places, return_counts=True)
+            found.append(values[counts >= least])
+    return np.unique(np.concatenate(found))
 
 
 def _runs(changed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,19 +144,22 @@ def _runs(changed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.bincount(run)[run]
 
 
-def _neighbours(kinds: np.ndarray, labels: np.ndarray, sketches: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of sorted entries to check, and the prefix asked of each row. kinds: tells trees and kinds apart."""
-    n = len(kinds)
+def _neighbours(places: np.ndarray, labels: np.ndarray, sketches: np.ndarray, least: int, most: int, floors: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of sorted entries to check, and the prefix asked of each row. floors: labels asked at least of the rows that share one label less with the first."""
+    n = len(places)
     changed = np.ones(n, bool)
-    changed[1:] = kinds[1:] != kinds[:-1]
+    changed[1:] = places[1:] != places[:-1]
     region = np.zeros(n, np.int64)
     settled = np.zeros(n, bool)
+    asked = np.zeros(n, np.int64)
+    for floor in floors:
+        asked[(places == places[0]) & (labels[:, : floor - 1] == labels[0, : floor - 1]).all(axis=1)] = floor
     for d in range(DEPTH):
         changed[1:] |= labels[1:, d] != labels[:-1, d]
         if d + 1 < SHALLOW:
             continue
         run, size = _runs(changed)
-        now = ~settled & ((size <= most) | (d + 1 == DEPTH))
+        now = ~settled & ((size <= most) & (d + 1 >= asked) | (d + 1 == DEPTH))
         region[now] = run[now] * DEPTH + d
         settled |= now
     a, b = [], []
@@ -117,90 +178,107 @@ def _neighbours(kinds: np.ndarray, labels: np.ndarray, sketches: np.ndarray, lea
     return *pairs, region % DEPTH + 1
 
 
+def _complete(places: np.ndarray, labels: np.ndarray, most: int) -> tuple[int, int]:
+    """How many of the sorted rows have complete regions, and how many labels the regions of all of them have at least (0: not told): what follows belongs to the same prefix of one label less."""
+    same = places == places[-1]
+    for d in range(SHALLOW):
+        same &= labels[:, d] == labels[-1, d]
+    for d in range(SHALLOW, DEPTH + 1):
+        start = len(same) - int(same.sum())
+        if start:
+            return start, d if d > SHALLOW else 0
+        if d == DEPTH or len(same) <= most:
+            break
+        same = same & (labels[:, d] == labels[-1, d])
+    return 0, 0
+
+
 def _search(threshold: float):
-    p, most = (1 + threshold) / 2, REGION  # read here: executors have the module's own value
+    p, most, hold = (1 + threshold) / 2, REGION, HOLD  # read here: executors have the module's own value
     least = int(np.floor(_BITS * p - SLACK * np.sqrt(_BITS * p * (1 - p))))
 
+    def search(places: np.ndarray, rows: np.ndarray, labels: np.ndarray, floors: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+        if len(places) < 2:
+            return  # alone: nothing is separated from it
+        a, b, depth = _neighbours(places, labels, np.ascontiguousarray(rows[:, _KEY + _CLASS :]).view(np.uint64), least, most, floors)
+        classes = np.ascontiguousarray(rows[:, _KEY : _KEY + _CLASS])
+        order = classes.view(">u8").astype(np.uint64)
+        deep = np.nonzero(depth > SHALLOW)[0]
+        later = (order[a, 0] > order[b, 0]) | (order[a, 0] == order[b, 0]) & (order[a, 1] > order[b, 1])
+        a, b = np.where(later, b, a), np.where(later, a, b)
+        a, b, depth = np.concatenate([a, deep]), np.concatenate([b, deep]), np.concatenate([np.zeros(len(a), np.int32), depth[deep].astype(np.int32)])
+        for at in range(0, len(a), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([_binary(np.hstack([classes[a[part]], classes[b[part]]])), pa.array(depth[part])], ["pair", "depth"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def search(entries: pa.Table) -> Iterator[pa.RecordBatch]:
-            n = entries.num_rows
-            if n < 2:
-                return  # alone: nothing is separated from it
-            kind = entries.column("kind").combine_chunks().dictionary_encode()
-            if isinstance(kind, pa.ChunkedArray):
-                kind = kind.combine_chunks()
-            kinds = kind.indices.to_numpy().astype(np.int64) * (1 << 20) + entries.column("tree").to_numpy()
-            labels = np.frombuffer(b"".join(entries.column("key").to_pylist()), ">u2").reshape(n, DEPTH)
-            sketches = np.frombuffer(b"".join(entries.column("sketch").to_pylist()), np.uint64).reshape(n, _WORDS)
-            a, b, depth = _neighbours(kinds, labels, sketches, least, most)
-            classes = entries.column("class").combine_chunks()
-            deep = np.nonzero(depth > SHALLOW)[0]
-            a, b, depth = np.concatenate([a, deep]), np.concatenate([b, deep]), np.concatenate([np.zeros(len(a), np.int64), depth[deep]])
-            for at in range(0, len(a), 50_000):
-                x, y = pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([_take(entries.column("kind"), x), _take(classes, x), _take(classes, y), pa.array(depth[at : at + 50_000].astype(np.int32))], ["kind", "class_a", "class_b", "depth"])
+        held: list[tuple] = []
+        n, limit, floor = 0, hold, 0
+
+        def gather():
+            places, rows = (np.concatenate(x) for x in zip(*held))
+            return places, rows, np.ascontiguousarray(rows[:, :_KEY]).view(">u2").astype(np.uint16)
 
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows > 400_000:  # search all regions but the last, which may go on
-                entries = pa.Table.from_batches(held)
-                last = entries.slice(rows - 1)
-                same = [np.array(entries.column(c).to_pylist(), object) == last.column(c)[0].as_py() for c in ("kind", "tree", "spread")]
-                whole = rows - int((same[0] & same[1] & same[2]).sum())
+            if not batch.num_rows:
+                continue
+            held.append((batch.column(0).to_numpy(), _bytes(batch.column(1), _ENTRY)))
+            n += batch.num_rows
+            if n > limit:
+                places, rows, labels = gather()
+                whole, after = _complete(places, labels, most)
                 if whole:
-                    yield from search(entries.slice(0, whole))
-                    held, rows = entries.slice(whole).to_batches(), rows - whole
-        if held:
-            yield from search(pa.Table.from_batches(held))
+                    yield from search(places[:whole], rows[:whole], labels[:whole], tuple(sorted({floor, after} - {0})))
+                    held, n, limit, floor = [(places[whole:], rows[whole:])], n - whole, hold + n - whole, after
+                else:  # one key: all its pairs are compared
+                    held, limit = [(places, rows)], 2 * n
+        if n:
+            yield from search(*gather(), (floor,) if floor else ())
 
     return run
 
 
-def _take(column, rows: pa.Array) -> pa.Array:
-    out = column.take(rows)
-    return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out
-
-
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From kind, id, text: members (kind, class, id) and the classes of equal word sets (kind, class, words).
+    """From kind, id, text: members (kind, class, id) and the classes of equal word sets of a kind (kind, class, words).
 
     Null kinds form a kind of their own; rows without id, and texts without any word, take no part;
-    repeated rows count once.
+    repeated rows count once. Both are written, for they are read several times.
     """
+    spark = records.sparkSession
     rows = records.select(F.coalesce(F.col("kind").cast("string"), F.lit("")).alias("kind"), F.col("id").cast("string").alias("id"), word_set(F.col("text")).alias("words"))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("words") > 0)).withColumn("class", F.unhex(F.md5(F.concat_ws(" ", "words"))))
-    return rows.select("kind", "class", "id").distinct(), rows.groupBy("kind", "class").agg(F.first("words").alias("words"))
+    rows = rows.where(F.col("id").isNotNull() & (F.size("words") > 0)).withColumn("class", F.unhex(F.md5(F.concat_ws(" ", "kind", F.lit("/"), "words"))))
+    path = fresh_dir(spark, "classes")
+    rows.write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    rows.groupBy("class").agg(F.first("kind").alias("kind"), F.first("words").alias("words")).write.parquet(f"{path}/sets")
+    return rows.select("kind", "class", "id").distinct(), spark.read.parquet(f"{path}/sets")
 
 
 def links(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes whose word sets have at least `threshold` of their union in common: kind, class_a, class_b, similarity."""
-    hashed = sets.select("kind", "class", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    order = ["kind", "tree", "spread"]
+    hashed = sets.select(F.xxhash64("kind").alias("kind"), "class", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
 
-    def search(planted: DataFrame) -> DataFrame:
+    def search(planted: DataFrame, trees: int) -> DataFrame:
         """Pairs to check; a class with itself: how deep its regions are."""
-        forest = planted.mapInArrow(_plant, "kind string, tree int, spread binary, key binary, class binary, sketch binary")
-        found = forest.repartition(*order).sortWithinPartitions(*order, "key", "class").mapInArrow(_search(threshold), "kind string, class_a binary, class_b binary, depth int")
-        pairs = found.select("kind", F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "depth")
-        return pairs.groupBy("kind", "class_a", "class_b").agg(F.max("depth").alias("depth"))
+        forest = planted.mapInArrow(_plant(_frequent(hashed, trees)), "place long, entry binary")
+        found = forest.repartition("place").sortWithinPartitions("place", "entry").mapInArrow(_search(threshold), "pair binary, depth int")
+        return found.groupBy("pair").agg(F.max("depth").alias("depth"))
 
-    first = cut(search(hashed))
-    pairs = first.where("class_a <> class_b").select("kind", "class_a", "class_b")
+    first = cut(search(hashed, TREES))
     # as if every tree asked for the longest prefix met: sharing that is enough in any; a pair has the trees that both its sets have
     trees = F.ceil(F.lit(float(np.log(MISS))) / F.log(1 - F.pow(F.lit(float(threshold)), "depth")))
-    deep = first.where("class_a = class_b").select("kind", F.col("class_a").alias("class"), (trees - TREES).cast("int").alias("extra")).where("extra > 0")
-    if not deep.isEmpty():
-        more = search(hashed.join(deep, ["kind", "class"]).select("kind", "class", "words", "extra"))
-        pairs = pairs.unionByName(more.where("class_a <> class_b").select("kind", "class_a", "class_b")).distinct()
-    side = lambda x: sets.select("kind", F.col("class").alias(f"class_{x}"), F.col("words").alias(f"words_{x}"))
+    extra = (trees - TREES).cast("int").alias("extra")
+    deep = first.where("depth > 0").select(F.substring("pair", 1, _CLASS).alias("class"), extra).where("extra > 0")
+    pairs = first.where("depth = 0").select("pair")
+    if most := deep.agg(F.max("extra")).first()[0]:
+        more = search(hashed.join(deep, "class").select("kind", "class", "words", "extra"), TREES + most)
+        pairs = pairs.unionByName(more.where("depth = 0").select("pair")).distinct()
+    pairs = pairs.select(F.substring("pair", 1, _CLASS).alias("class_a"), F.substring("pair", _CLASS + 1, _CLASS).alias("class_b"))
+    side = lambda x: sets.select(F.col("kind").alias(f"kind_{x}"), F.col("class").alias(f"class_{x}"), F.col("words").alias(f"words_{x}"))
     both = F.size(F.array_intersect("words_a", "words_b"))
-    checked = pairs.join(side("a"), ["kind", "class_a"]).join(side("b"), ["kind", "class_b"]).withColumn("both", both)
+    checked = pairs.join(side("a"), "class_a").join(side("b"), "class_b").where("kind_a = kind_b").withColumn("both", both)
     similarity = F.col("both") / (F.size("words_a") + F.size("words_b") - F.col("both"))
-    return checked.select("kind", "class_a", "class_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    return checked.select(F.col("kind_a").alias("kind"), "class_a", "class_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def similar_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:

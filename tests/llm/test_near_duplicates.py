@@ -87,3 +87,55 @@ def test_pairs_at_the_threshold_in_a_dense_region(spark, monkeypatch):
     monkeypatch.setattr(N, "MISS", 1.0)  # without further trees these are lost
     few = {(x["id_a"], x["id_b"]) for x in similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(few & at) < 0.95 * len(at)
+
+
+def test_rows_of_a_place_searched_in_parts_are_searched_alike():
+    """Entries of one place in any portions give the pairs and depths of the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strandline.llm import near_duplicates as N
+
+    r = np.random.default_rng(3)
+    n = 3000
+    labels = np.where(r.random((n, N.DEPTH)) < 0.75, 7, r.integers(0, 3, (n, N.DEPTH))).astype(">u2")
+    labels[: n // 3] = 7  # a third shares a whole key
+    rows = np.zeros((n, N._ENTRY), np.uint8)
+    rows[:, : N._KEY] = labels.view(np.uint8).reshape(n, N._KEY)
+    rows[:, N._KEY : N._KEY + 16] = r.integers(0, 256, (n, 16))
+    rows[:, N._KEY + 16 :] = r.integers(0, 256, (n, N._WORDS * 8)) | 0xEF
+    rows = rows[np.lexsort(rows[:, : N._KEY + 16].T[::-1])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 5)), N._binary(part)], ["place", "entry"]) for part in np.array_split(rows, 60)]
+
+    def found(hold):
+        old, N.HOLD = N.HOLD, hold
+        try:
+            out = set()
+            for b in N._search(0.7)(iter(batches)):
+                out |= {(p, d) for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+            return out
+        finally:
+            N.HOLD = old
+
+    whole = found(10**9)
+    assert len(whole) > 50_000 and found(500) == whole and found(2000) == whole
+
+
+def test_frequent_prefixes_meet_apart(spark, monkeypatch):
+    from strandline.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "REGION", 8)
+    r = random.Random(11)
+    rows = []
+    for i in range(600):  # a third share a template, so a tree's first labels are often theirs
+        words = [f"t{k}" for k in range(30)] + [f"x{r.randrange(300)}" for _ in range(8)] if i % 3 == 0 else [f"y{r.randrange(3000)}" for _ in range(40)]
+        rows.append(("k", f"r{i:03}", " ".join(words), None, 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    _, sets = N.classes(df)
+    hashed = sets.select(N.F.xxhash64("kind").alias("kind"), "class", N.F.transform("words", lambda w: N.F.xxhash64(w)).alias("words"))
+    frequent = N._frequent(hashed, N.TREES)
+    sizes = lambda f: hashed.mapInArrow(N._plant(f), "place long, entry binary").groupBy("place").count().agg(N.F.max("count")).first()[0]
+    assert len(frequent) > 50 and sizes(frequent) < 0.5 * sizes(frequent[:0])
+    want = brute(rows, 0.7)
+    got = {(x["id_a"], x["id_b"]) for x in similar_pairs(df).collect()}
+    assert got <= want and len(want) > 500 and len(got) >= 0.998 * len(want)
