@@ -69,12 +69,12 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(kinds: np.ndarray, tree: int, labels: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashes of kind, tree and prefix, for prefixes of SHALLOW labels and more."""
+    """Hashes of kind, tree and prefix, for prefixes of SHALLOW labels and more; the last four bits tell how many."""
     at = _mix(kinds.view(np.uint64) + np.uint64(tree))
     for d in range(DEPTH):
         at = _mix(at ^ (labels[:, d].astype(np.uint64) + np.uint64(d << 16 | 1)))
         if d + 1 >= SHALLOW:
-            yield at
+            yield at & ~np.uint64(15) | np.uint64(d + 1)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -122,17 +122,20 @@ def _plant(frequent: np.ndarray):
     return run
 
 
-def _frequent(hashed: DataFrame, trees: int) -> np.ndarray:
-    """Places whose prefix holds more than REGION sets by far, by a sample of about SAMPLE sets chosen by a hash."""
-    total = hashed.count()
-    few = hashed.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / max(SAMPLE, total))).toArrow()
+def _frequent(planted: DataFrame) -> np.ndarray:
+    """Places whose prefix holds more than REGION sets by far, by a sample of about SAMPLE sets chosen by a hash. planted: what _plant gets."""
+    total = planted.count()
+    few = planted.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / max(SAMPLE, total))).toArrow()
     if not few.num_rows or total <= 4 * REGION:
         return np.zeros(0, np.uint64)
     least = max(FREQUENT, 4 * REGION * few.num_rows / total)
+    extra = few.column(3).to_numpy() if few.num_columns > 3 else None
+    trees = range(TREES) if extra is None else range(TREES, TREES + int(extra.max()))
     kinds, found = few.column(0).to_numpy(), []
-    labels = (_signatures(*_flat(few.column(2).combine_chunks()), trees) >> np.uint64(1)).astype(np.uint16).reshape(few.num_rows, trees, DEPTH)
-    for t in range(trees):
-        for places in _places(kinds, t, labels[:, t]):
+    labels = (_signatures(*_flat(few.column(2).combine_chunks()), trees.stop) >> np.uint64(1)).astype(np.uint16).reshape(few.num_rows, trees.stop, DEPTH)
+    for t in trees:
+        own = slice(None) if extra is None else extra > t - TREES
+        for places in _places(kinds[own], t, labels[own, t]):
             values, counts = np.unique(places, return_counts=True)
             found.append(values[counts >= least])
     return np.unique(np.concatenate(found))
@@ -151,7 +154,7 @@ def _neighbours(places: np.ndarray, labels: np.ndarray, sketches: np.ndarray, le
     changed[1:] = places[1:] != places[:-1]
     region = np.zeros(n, np.int64)
     settled = np.zeros(n, bool)
-    asked = np.zeros(n, np.int64)
+    asked = places & 15
     for floor in floors:
         asked[(places == places[0]) & (labels[:, : floor - 1] == labels[0, : floor - 1]).all(axis=1)] = floor
     for d in range(DEPTH):
@@ -258,20 +261,20 @@ def links(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes whose word sets have at least `threshold` of their union in common: kind, class_a, class_b, similarity."""
     hashed = sets.select(F.xxhash64("kind").alias("kind"), "class", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
 
-    def search(planted: DataFrame, trees: int) -> DataFrame:
+    def search(planted: DataFrame) -> DataFrame:
         """Pairs to check; a class with itself: how deep its regions are."""
-        forest = planted.mapInArrow(_plant(_frequent(hashed, trees)), "place long, entry binary")
+        forest = planted.mapInArrow(_plant(_frequent(planted)), "place long, entry binary")
         found = forest.repartition("place").sortWithinPartitions("place", "entry").mapInArrow(_search(threshold), "pair binary, depth int")
         return found.groupBy("pair").agg(F.max("depth").alias("depth"))
 
-    first = cut(search(hashed, TREES))
+    first = cut(search(hashed))
     # as if every tree asked for the longest prefix met: sharing that is enough in any; a pair has the trees that both its sets have
     trees = F.ceil(F.lit(float(np.log(MISS))) / F.log(1 - F.pow(F.lit(float(threshold)), "depth")))
     extra = (trees - TREES).cast("int").alias("extra")
     deep = first.where("depth > 0").select(F.substring("pair", 1, _CLASS).alias("class"), extra).where("extra > 0")
     pairs = first.where("depth = 0").select("pair")
-    if most := deep.agg(F.max("extra")).first()[0]:
-        more = search(hashed.join(deep, "class").select("kind", "class", "words", "extra"), TREES + most)
+    if not deep.isEmpty():
+        more = search(hashed.join(deep, "class").select("kind", "class", "words", "extra"))
         pairs = pairs.unionByName(more.where("depth = 0").select("pair")).distinct()
     pairs = pairs.select(F.substring("pair", 1, _CLASS).alias("class_a"), F.substring("pair", _CLASS + 1, _CLASS).alias("class_b"))
     side = lambda x: sets.select(F.col("kind").alias(f"kind_{x}"), F.col("class").alias(f"class_{x}"), F.col("words").alias(f"words_{x}"))

@@ -105,7 +105,7 @@ def test_rows_of_a_place_searched_in_parts_are_searched_alike():
     rows[:, N._KEY : N._KEY + 16] = r.integers(0, 256, (n, 16))
     rows[:, N._KEY + 16 :] = r.integers(0, 256, (n, N._WORDS * 8)) | 0xEF
     rows = rows[np.lexsort(rows[:, : N._KEY + 16].T[::-1])]
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 5)), N._binary(part)], ["place", "entry"]) for part in np.array_split(rows, 60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 16 + N.SHALLOW)), N._binary(part)], ["place", "entry"]) for part in np.array_split(rows, 60)]
 
     def found(hold):
         old, N.HOLD = N.HOLD, hold
@@ -133,7 +133,7 @@ def test_frequent_prefixes_meet_apart(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     _, sets = N.classes(df)
     hashed = sets.select(N.F.xxhash64("kind").alias("kind"), "class", N.F.transform("words", lambda w: N.F.xxhash64(w)).alias("words"))
-    frequent = N._frequent(hashed, N.TREES)
+    frequent = N._frequent(hashed)
     sizes = lambda f: hashed.mapInArrow(N._plant(f), "place long, entry binary").groupBy("place").count().agg(N.F.max("count")).first()[0]
     assert len(frequent) > 50 and sizes(frequent) < 0.5 * sizes(frequent[:0])
     want = brute(rows, 0.7)
