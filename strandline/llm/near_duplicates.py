@@ -16,10 +16,12 @@ parted. The sample only places entries. A task reads its entries in order and ho
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,29 @@ _KEY, _CLASS = DEPTH * 2, 16
 _ENTRY = _KEY + _CLASS + _WORDS * 8
 
 
-def word_set(text) -> F.Column:
+_RUN = re.compile(r"[^\W_]+")
+
+
+def word_set(text: str) -> list[str]:
     """The sorted distinct lower-cased runs of letters and digits."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+    return sorted(set(_RUN.findall(text.lower())))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, id, text -> kind, id, class, words (hashed); rows without words are left out."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        rows = []
+        for kind, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if words := word_set(text):
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh3_64_intdigest(w.encode()) >> 1
+                rows.append((kind, key, xxhash.xxh3_128_digest("\n".join((kind, *words)).encode()), [known[w] for w in words]))
+        if len(known) > 500_000:
+            known.clear()
+        columns = zip(*rows) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64())))], ["kind", "id", "class", "words"])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,16 +74,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _signatures(flat: np.ndarray, starts: np.ndarray, trees: int) -> np.ndarray:
-    """Min-hash values, one row for each set; flat: the hashed words of all sets."""
+def _signatures(flat: np.ndarray, starts: np.ndarray, trees: range) -> np.ndarray:
+    """Min-hash values of the trees, one row for each set; flat: the hashed words of all sets."""
     words, own = np.unique(flat, return_inverse=True)
-    seeds = _mix(np.arange(1, trees * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    seeds = _mix(np.arange(trees.start * DEPTH + 1, trees.stop * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     out = np.empty((len(seeds), len(starts)), np.uint32)
     for j, seed in enumerate(seeds):
         out[j] = np.minimum.reduceat((_mix(words ^ seed) >> np.uint64(32)).astype(np.uint32)[own], starts)
     return _mix(out.T + seeds)
 
 
+def _labels(values: np.ndarray) -> np.ndarray:
+    """Labels of 16 bits, by set and tree."""
+    return (values >> np.uint64(1)).astype(">u2").reshape(len(values), -1, DEPTH)
+
+
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """All values of lists of longs, and where each list starts."""
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -90,34 +117,49 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
 
 
+def _trees(flat: np.ndarray, starts: np.ndarray, extra: np.ndarray | None, values: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Tree, how many of the sets have it, and these sets' labels: of the first TREES trees, or of each set's extra ones; sets come by descending extra."""
+    if extra is None:
+        labels = _labels(_signatures(flat, starts, range(TREES)) if values is None else values)
+        yield from ((t, len(starts), labels[:, t]) for t in range(TREES))
+    else:
+        ends = np.append(starts, len(flat))
+        for t in range(TREES, TREES + int(extra.max(initial=0))):
+            n = int((extra > t - TREES).sum())
+            yield t, n, _labels(_signatures(flat[: ends[n]], starts[:n], range(t, t + 1)))[:, 0]
+
+
+def _descending(part: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray | None]:
+    if part.num_columns < 4:
+        return part, None
+    part = part.take(pa.array(np.argsort(-part.column(3).to_numpy(), kind="stable")))
+    return part, part.column(3).to_numpy()
+
+
 def _plant(frequent: np.ndarray):
     """kind (hashed), class, words (hashed) -> an entry of each tree; with a fourth column, of so many trees beyond the first TREES. frequent: sorted places to go beyond."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
-                extra = part.column(3).to_numpy() if part.num_columns > 3 else None
-                trees = range(TREES) if extra is None else range(TREES, TREES + int(extra.max()))
-                values = _signatures(*_flat(part.column(2)), trees.stop)
-                n = part.num_rows
-                bits = np.zeros((n, _WORDS * 64), np.uint8)
-                bits[:, :_BITS] = values[:, :_BITS] & np.uint64(1)
-                labels = (values >> np.uint64(1)).astype(">u2").reshape(n, trees.stop, DEPTH)
-                entry = np.empty((n, _ENTRY), np.uint8)
+                part, extra = _descending(batch.slice(at, 4000))
+                flat, starts = _flat(part.column(2))
+                values = _signatures(flat, starts, range(TREES))
+                bits = np.zeros((len(starts), _WORDS * 64), np.uint8)
+                bits[:, :_BITS] = values & np.uint64(1)
+                entry = np.empty((len(starts), _ENTRY), np.uint8)
                 entry[:, _KEY : _KEY + _CLASS] = _bytes(part.column(1), _CLASS)
                 entry[:, _KEY + _CLASS :] = np.packbits(bits, axis=1)
                 kinds = part.column(0).to_numpy()
-                for t in trees:
-                    own = slice(None) if extra is None else extra > t - TREES
+                for t, n, labels in _trees(flat, starts, extra, values):
                     place = None
-                    for longer in _places(kinds, t, labels[:, t]):
+                    for longer in _places(kinds[:n], t, labels):
                         place = longer if place is None else np.where(further, longer, place)
                         further = np.isin(place, frequent)
                         if not further.any():
                             break
-                    entry[:, :_KEY] = np.ascontiguousarray(labels[:, t]).view(np.uint8).reshape(n, _KEY)
-                    yield pa.RecordBatch.from_arrays([pa.array(place[own].view(np.int64)), _binary(entry[own])], ["place", "entry"])
+                    entry[:n, :_KEY] = np.ascontiguousarray(labels).view(np.uint8).reshape(n, _KEY)
+                    yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), _binary(entry[:n].copy())], ["place", "entry"])
 
     return run
 
@@ -129,13 +171,10 @@ def _frequent(planted: DataFrame) -> np.ndarray:
     if not few.num_rows or total <= 4 * REGION:
         return np.zeros(0, np.uint64)
     least = max(FREQUENT, 4 * REGION * few.num_rows / total)
-    extra = few.column(3).to_numpy() if few.num_columns > 3 else None
-    trees = range(TREES) if extra is None else range(TREES, TREES + int(extra.max()))
+    few, extra = _descending(few.combine_chunks().to_batches()[0])
     kinds, found = few.column(0).to_numpy(), []
-    labels = (_signatures(*_flat(few.column(2).combine_chunks()), trees.stop) >> np.uint64(1)).astype(np.uint16).reshape(few.num_rows, trees.stop, DEPTH)
-    for t in trees:
-        own = slice(None) if extra is None else extra > t - TREES
-        for places in _places(kinds[own], t, labels[own, t]):
+    for t, n, labels in _trees(*_flat(few.column(2)), extra, None):
+        for places in _places(kinds[:n], t, labels):
             values, counts = np.unique(places, return_counts=True)
             found.append(values[counts >= least])
     return np.unique(np.concatenate(found))
@@ -245,13 +284,12 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From kind, id, text: members (kind, class, id) and the classes of equal word sets of a kind (kind, class, words).
 
     Null kinds form a kind of their own; rows without id, and texts without any word, take no part;
-    repeated rows count once. Both are written, for they are read several times.
+    repeated rows count once. Words are hashed to 63 bits. Both are written, for they are read several times.
     """
     spark = records.sparkSession
-    rows = records.select(F.coalesce(F.col("kind").cast("string"), F.lit("")).alias("kind"), F.col("id").cast("string").alias("id"), word_set(F.col("text")).alias("words"))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("words") > 0)).withColumn("class", F.unhex(F.md5(F.concat_ws(" ", "kind", F.lit("/"), "words"))))
+    rows = records.select(F.coalesce(F.col("kind").cast("string"), F.lit("")).alias("kind"), F.col("id").cast("string").alias("id"), F.col("text").cast("string")).where("id IS NOT NULL AND text IS NOT NULL")
     path = fresh_dir(spark, "classes")
-    rows.write.parquet(f"{path}/rows")
+    rows.mapInArrow(_sets, "kind string, id string, class binary, words array<long>").write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     rows.groupBy("class").agg(F.first("kind").alias("kind"), F.first("words").alias("words")).write.parquet(f"{path}/sets")
     return rows.select("kind", "class", "id").distinct(), spark.read.parquet(f"{path}/sets")
@@ -259,18 +297,20 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def links(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes whose word sets have at least `threshold` of their union in common: kind, class_a, class_b, similarity."""
-    hashed = sets.select(F.xxhash64("kind").alias("kind"), "class", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    # the log of the chance that a pair at the threshold doesn't share so long a prefix, negated: these add up over trees
+    of = lambda depth: -F.log(1 - F.pow(F.lit(float(threshold)), depth))
+    hashed = sets.select(F.xxhash64("kind").alias("kind"), "class", "words")
 
     def search(planted: DataFrame) -> DataFrame:
         """Pairs to check; a class with itself: how deep its regions are."""
         forest = planted.mapInArrow(_plant(_frequent(planted)), "place long, entry binary")
         found = forest.repartition("place").sortWithinPartitions("place", "entry").mapInArrow(_search(threshold), "pair binary, depth int")
-        return found.groupBy("pair").agg(F.max("depth").alias("depth"))
+        return found.groupBy("pair").agg(F.max("depth").alias("depth"), F.sum(F.when(F.col("depth") > 0, of(F.lit(SHALLOW)) - of(F.col("depth"))).otherwise(0.0)).alias("short"))
 
     first = cut(search(hashed))
-    # as if every tree asked for the longest prefix met: sharing that is enough in any; a pair has the trees that both its sets have
-    trees = F.ceil(F.lit(float(np.log(MISS))) / F.log(1 - F.pow(F.lit(float(threshold)), "depth")))
-    extra = (trees - TREES).cast("int").alias("extra")
+    # what a set's trees that ask for longer prefixes fall short by comes from further trees, as if these asked for the longest; a pair has the trees that both its sets have
+    wanted = F.lit(float(-np.log(MISS))) - TREES * of(F.lit(SHALLOW)) + F.col("short")
+    extra = F.ceil(wanted / of(F.col("depth"))).cast("int").alias("extra")
     deep = first.where("depth > 0").select(F.substring("pair", 1, _CLASS).alias("class"), extra).where("extra > 0")
     pairs = first.where("depth = 0").select("pair")
     if not deep.isEmpty():
