@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strandline.session import cut, fresh_dir
 
-TREES, DEPTH, SHALLOW, REGION = 24, 10, 3, 384
+TREES, DEPTH, SHALLOW, REGION = 24, 10, 3, 1024
 #: The greatest chance that a pair at the threshold shares no region, however dense these are.
 MISS = 0.001
 #: Sets that tell which prefixes are frequent, and how many of them a frequent prefix has at least.
@@ -297,20 +297,18 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def links(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes whose word sets have at least `threshold` of their union in common: kind, class_a, class_b, similarity."""
-    # the log of the chance that a pair at the threshold doesn't share so long a prefix, negated: these add up over trees
-    of = lambda depth: -F.log(1 - F.pow(F.lit(float(threshold)), depth))
     hashed = sets.select(F.xxhash64("kind").alias("kind"), "class", "words")
 
     def search(planted: DataFrame) -> DataFrame:
         """Pairs to check; a class with itself: how deep its regions are."""
         forest = planted.mapInArrow(_plant(_frequent(planted)), "place long, entry binary")
         found = forest.repartition("place").sortWithinPartitions("place", "entry").mapInArrow(_search(threshold), "pair binary, depth int")
-        return found.groupBy("pair").agg(F.max("depth").alias("depth"), F.sum(F.when(F.col("depth") > 0, of(F.lit(SHALLOW)) - of(F.col("depth"))).otherwise(0.0)).alias("short"))
+        return found.groupBy("pair").agg(F.max("depth").alias("depth"))
 
     first = cut(search(hashed))
-    # what a set's trees that ask for longer prefixes fall short by comes from further trees, as if these asked for the longest; a pair has the trees that both its sets have
-    wanted = F.lit(float(-np.log(MISS))) - TREES * of(F.lit(SHALLOW)) + F.col("short")
-    extra = F.ceil(wanted / of(F.col("depth"))).cast("int").alias("extra")
+    # as if every tree asked for the longest prefix met, for where a label is rare, so that the prefix stays short, a pair shares it more seldom too; a pair has the trees that both its sets have
+    trees = F.ceil(F.lit(float(np.log(MISS))) / F.log(1 - F.pow(F.lit(float(threshold)), "depth")))
+    extra = (trees - TREES).cast("int").alias("extra")
     deep = first.where("depth > 0").select(F.substring("pair", 1, _CLASS).alias("class"), extra).where("extra > 0")
     pairs = first.where("depth = 0").select("pair")
     if not deep.isEmpty():
