@@ -61,8 +61,7 @@ def test_table_scan_equals_decoded_product():
     books, codes, q = r.normal(size=(V.PARTS, 16, 2)).astype(np.float32), r.integers(0, 16, (30, V.PARTS)), r.normal(size=(4, 64)).astype(np.float32)
     decoded = books[np.arange(V.PARTS), codes].reshape(30, 64)
     packed = (codes[:, ::2] << 4 | codes[:, 1::2]).astype(np.uint8)
-    tables = np.einsum("qmd,mkd->qmk", q.reshape(4, V.PARTS, -1), books)
-    assert np.allclose(V.scan(tables, packed), q @ decoded.T, atol=1e-4)
+    assert np.allclose(V.scan(V.pair_tables(q, books), packed), decoded @ q.T, atol=1e-4)
 
 
 def test_unusable_repeats_copies_and_few(spark):
@@ -74,3 +73,26 @@ def test_unusable_repeats_copies_and_few(spark):
     got = found(copies)
     assert len(got) == 41 and all(len(v) == 5 for v in got.values()) and all("far" not in v for k, v in got.items())
     assert V.nearest(df.limit(0)).count() == 0
+
+
+def unclustered(n, seed):
+    """Vectors of some twelve strong directions and much noise."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 12)) @ r.normal(size=(12, 64)) + 0.5 * r.normal(size=(n, 64))
+    return [(f"h{i:05}", "m", v.tolist(), i, "x", "y") for i, v in enumerate(x)]
+
+
+def test_recall_where_cells_are_parted_again_and_groups_cut(spark, monkeypatch):
+    monkeypatch.setattr(V, "MAX_CELLS", 4)
+    monkeypatch.setattr(V, "PER_CELL", 32)
+    monkeypatch.setattr(V, "BLOCK", 900)
+    rows = unclustered(3000, 5)
+    got, want = found(spark.createDataFrame(rows, SCHEMA)), near(rows)
+    hits = sum(len(want[k] & got.get(k, set())) for k in want)
+    assert hits >= 0.9 * sum(map(len, want.values())) and all(len(v) == 5 for v in got.values())
+
+
+def test_recall_on_vectors_without_clusters(spark):
+    rows = unclustered(4000, 6)
+    got, want = found(spark.createDataFrame(rows, SCHEMA)), near(rows)
+    assert sum(len(want[k] & got.get(k, set())) for k in want) >= 0.93 * sum(map(len, want.values()))
