@@ -3,24 +3,32 @@
 A run goes through four steps, each of which leaves a durable trace in a folder that all executors share:
 
 1. plan: the range of offsets to read from every partition of the log, written ahead of any work;
-2. latest: the newest usable record of every key, merged from the previous snapshot and the batch;
+2. latest: of the partitions that the plan touches, the newest usable record of every key, merged from the snapshot
+   before and the batch, with the offset that was last given out;
 3. sink: the keys that have to be processed, with the offset that made them so;
-4. commit: an empty marker, made in one step.
+4. commit: a small file made in one step, which says in which batch every partition's snapshot lies.
 
-A run that finds a plan without a commit replays that very plan, and its writes replace what the failed
-run left. Readers of the sink see committed batches only and keep one row for each key and offset.
+A run that finds a plan without a commit replays that very plan, and its writes replace what the failed run left. The
+plan and the commit are made only if there are none, so of two runs at once one fails. Readers of the sink see
+committed batches only and keep one row for each key and offset.
+
+What a run reads follows from its plan: the log from the least offset on, as bounds that reach the scan, and the
+snapshots of the partitions touched. Past sinks aren't read.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.session import Files
 
 _SINK = "full_name string, fingerprint string, kind string, offset long, batch long"
+_LATEST = "full_name string, probed_at timestamp, offset long, fingerprint string, kind string, given long, due boolean"
+_START = -(2**63)
 
 
 def repo_state(fingerprints: DataFrame) -> DataFrame:
@@ -58,7 +66,7 @@ class StopHere(RuntimeError):
 class ChangeCapture:
     """Incremental runs over a log of probes, with their bookkeeping below root.
 
-    partitions: the log's partitions by key; a plan has one row for each, whatever the log's size.
+    partitions: the log's partitions by key; a plan and a commit have one entry for each, whatever the log's size.
     """
 
     spark: SparkSession
@@ -75,47 +83,67 @@ class ChangeCapture:
     def _partition(self):
         return F.pmod(F.xxhash64("full_name"), F.lit(self.partitions)).cast("int").alias("part")
 
+    def _read(self, kind: str, batch: int) -> dict[int, list[int]]:
+        """What a plan (part: from and to offset) or a commit (part: the batch of its snapshot) holds."""
+        return {int(k): v for k, v in json.loads(self._files().text(f"{self.root}/{kind}/{batch}")).items()}
+
     def plan(self, probes: DataFrame) -> int:
         """Writes the next batch's plan, or leaves the one that a failed run wrote. Gives its number."""
         batch = self.committed() + 1
         path = f"{self.root}/plans/{batch}"
-        if self._files().exists(f"{path}/_SUCCESS"):
+        if self._files().exists(path):
             return batch
-        ends = probes.where(F.col("full_name").isNotNull() & F.col("probe_id").isNotNull()).groupBy(self._partition()).agg(F.max("probe_id").alias("end"))
-        if batch:
-            before = self.spark.read.parquet(f"{self.root}/plans/{batch - 1}").select("part", F.col("to_offset").alias("from_offset"))
-        else:
-            before = self.spark.range(self.partitions).select(F.col("id").cast("int").alias("part"), F.lit(-(2**63)).cast("long").alias("from_offset"))
-        rows = before.join(ends, "part", "left").select("part", "from_offset", F.greatest(F.coalesce("end", "from_offset"), "from_offset").alias("to_offset"))
-        rows.coalesce(1).write.mode("overwrite").parquet(path)
+        before = {k: v[1] for k, v in self._read("plans", batch - 1).items()} if batch else dict.fromkeys(range(self.partitions), _START)
+        new = probes.where(F.col("full_name").isNotNull() & F.col("probe_id").isNotNull())
+        if (least := min(before.values())) > _START:
+            new = new.where(F.col("probe_id") > least)
+        ends = {r["part"]: r["end"] for r in new.groupBy(self._partition()).agg(F.max("probe_id").alias("end")).collect()}  # a row a partition
+        self._files().write_new(path, json.dumps({k: [v, max(v, ends.get(k, v))] for k, v in before.items()}))
         return batch
 
     def records(self, probes: DataFrame, batch: int) -> DataFrame:
-        """The records of a batch, as its plan has them."""
-        ranges = F.broadcast(self.spark.read.parquet(f"{self.root}/plans/{batch}"))  # one row for each partition
-        return probes.select("full_name", "fingerprint", "kind", "outcome", "probed_at", "probe_id", self._partition()).join(ranges, "part").where((F.col("probe_id") > F.col("from_offset")) & (F.col("probe_id") <= F.col("to_offset")))
+        """The records of a batch, as its plan has them; the bounds of all partitions reach the scan."""
+        ranges = {k: v for k, v in self._read("plans", batch).items() if v[0] < v[1]}
+        rows = probes.select("full_name", "fingerprint", "kind", "outcome", "probed_at", "probe_id")
+        if not ranges:
+            return rows.where(F.lit(False)).withColumn("part", F.lit(0))
+        least, most = min(v[0] for v in ranges.values()), max(v[1] for v in ranges.values())
+        bounds = lambda i: F.create_map(*(F.lit(x) for k, v in ranges.items() for x in (k, v[i])))[F.col("part")]
+        rows = rows.where(F.col("probe_id") <= most) if least == _START else rows.where((F.col("probe_id") > least) & (F.col("probe_id") <= most))
+        return rows.withColumn("part", self._partition()).where((F.col("probe_id") > bounds(0)) & (F.col("probe_id") <= bounds(1)))
 
     def run(self, probes: DataFrame, fingerprints: DataFrame, stop_after: str | None = None) -> int:
         """One run; gives the batch's number. stop_after: a step after which to fail, for tests.
 
-        A repo is given out once for each probe that makes it due, and again only by a newer one. Probes
-        that arrive late with an earlier probed_at change nothing. Null names and offsets take no part.
+        The repos probed in the batch are held against their state as it is now. A repo is given out once for each
+        probe that makes it due, and again only by a newer one. Probes that arrive late with an earlier probed_at
+        change nothing. Null names and offsets take no part. fingerprints has no offsets, so all of it is read, for
+        the repos of the batch.
         """
-        batch = self.plan(probes)
+        files, batch = self._files(), self.plan(probes)
         self._stop("plan", stop_after)
-        latest = latest_usable(self.records(probes, batch))
-        if batch:
-            old = self.spark.read.parquet(f"{self.root}/latest/{batch - 1}")
-            newest = Window.partitionBy("full_name").orderBy(F.col("probed_at").desc(), F.col("offset").desc())
-            latest = old.unionByName(latest).withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
-        latest.write.mode("overwrite").parquet(f"{self.root}/latest/{batch}")
+        where = self._read("commits", batch - 1) if batch else {}
+        touched = [k for k, v in self._read("plans", batch).items() if v[0] < v[1]]
+        found = latest_usable(self.records(probes, batch)).withColumn("probed", F.lit(True)).withColumn("given", F.lit(None).cast("long"))
+        kept = [f"{self.root}/latest/{where[k]}/part={k}" for k in touched if where.get(k) is not None]
+        kept = [p for p in kept if files.exists(p)]  # a partition whose records weren't usable has none
+        merged = found
+        if kept:
+            merged = found.unionByName(self.spark.read.schema(_LATEST).parquet(*kept).drop("due").withColumn("probed", F.lit(False)))
+        top = F.max(F.struct("probed_at", "offset", "fingerprint", "kind")).alias("top")
+        merged = merged.groupBy("full_name").agg(top, F.max("given").alias("given"), F.max("probed").alias("probed")).select("full_name", "top.*", "given", "probed")
+        state = repo_state(fingerprints.join(found.select("full_name"), "full_name", "left_semi")).select("full_name", "state_fingerprint", F.lit(True).alias("known"))
+        held = merged.join(state, "full_name", "left")
+        differs = F.col("known").isNull() | ~F.col("fingerprint").eqNullSafe(F.col("state_fingerprint"))
+        due = F.col("probed") & differs & ~F.col("offset").eqNullSafe(F.col("given"))
+        held = held.withColumn("due", due).withColumn("given", F.when(F.col("due"), F.col("offset")).otherwise(F.col("given")))
+        path = f"{self.root}/latest/{batch}"
+        held.select("full_name", "probed_at", "offset", "fingerprint", "kind", "given", "due", self._partition()).write.mode("overwrite").partitionBy("part").parquet(path)
         self._stop("latest", stop_after)
-        due = to_index(self.spark.read.parquet(f"{self.root}/latest/{batch}"), repo_state(fingerprints))
-        if given := self._given(batch):
-            due = due.join(given.select("full_name", "offset"), ["full_name", "offset"], "left_anti")
-        due.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.root}/sink/{batch}")
+        given = self.spark.read.schema(_LATEST).parquet(path).where("due").select("full_name", "fingerprint", "kind", "offset", F.lit(batch).cast("long").alias("batch"))
+        given.write.mode("overwrite").parquet(f"{self.root}/sink/{batch}")
         self._stop("sink", stop_after)
-        self._files().touch(f"{self.root}/commits/{batch}")
+        files.write_new(f"{self.root}/commits/{batch}", json.dumps({k: batch if k in touched else where.get(k) for k in range(self.partitions)}))
         return batch
 
     @staticmethod
@@ -123,11 +151,7 @@ class ChangeCapture:
         if step == stop_after:
             raise StopHere(step)
 
-    def _given(self, before: int) -> DataFrame | None:
-        paths = [f"{self.root}/sink/{n}" for n in sorted(int(x) for x in self._files().names(f"{self.root}/commits")) if n < before]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def changes(self) -> DataFrame:
-        """What committed batches gave out: full_name, fingerprint, kind, offset, batch; one row for each key and offset."""
-        given = self._given(self.committed() + 1)
-        return self.spark.createDataFrame([], _SINK) if given is None else given.dropDuplicates(["full_name", "offset"])
+    def changes(self, after: int = -1) -> DataFrame:
+        """What committed batches beyond `after` gave out: full_name, fingerprint, kind, offset, batch; one row for each key and offset."""
+        paths = [f"{self.root}/sink/{n}" for n in range(after + 1, self.committed() + 1)]
+        return self.spark.read.schema(_SINK).parquet(*paths).dropDuplicates(["full_name", "offset"]) if paths else self.spark.createDataFrame([], _SINK)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import fixed
 from strandline.functions.vectors import boost, gate
-from strandline.operators.retrieval import best_of_each
+from strandline.operators.retrieval import best_of_each, top_k
 
 RETIRED = ("superseded", "deprecated")
 
@@ -89,3 +89,57 @@ def upsert_components(cards: DataFrame) -> DataFrame:
     """Components by name and project: the latest update's row with the first createdAt."""
     latest = F.max_by(F.struct("id", "summary", "updatedAt"), F.struct("updatedAt", "id")).alias("c")
     return cards.where(F.col("arch_kind") == "component").groupBy("name", "project").agg(latest, F.min("createdAt").alias("createdAt")).select("name", "project", "c.id", "c.summary", "createdAt", "c.updatedAt")
+
+
+def near_new(cards: DataFrame, new: DataFrame, kind: str | None = "arch_kind") -> DataFrame:
+    """What becomes of new records (id, project, vector, and kind if there is one; supersedes if there is one): id, nearest, score, outcome.
+
+    A record is held against those of its kind in force that its project sees: the project's own and the group's (null);
+    one of the group sees the group's only. Those that supersede another are created whatever is near. Every fitting
+    vector is scored; of equal scores the id that hashes least is nearest. Ids are strings; null ones take no part.
+    """
+    own = lambda df: df.where("id IS NOT NULL").select("id", F.coalesce("project", F.lit("")).alias("at"), (F.col(kind) if kind else F.lit("")).alias("kind"), "vector")
+    old = own(current(cards) if "status" in cards.columns else cards)
+    asked = new.withColumn("supersedes", F.col("supersedes") if "supersedes" in new.columns else F.lit(None).cast("string"))
+    gated_ = own(asked.where("supersedes IS NULL")).withColumn("no", F.xxhash64("id"))
+    place = F.concat_ws("\x1f", "kind", "at")
+    corpus = old.select(F.xxhash64("id").alias("id"), F.col("id").alias("card"), place.alias("place"), "vector")
+    hits = top_k(gated_.select(F.col("no").alias("id"), "vector"), corpus, 1, by="place").join(corpus.select("id", "card"), "id")
+    seen = F.array(place, F.concat_ws("\x1f", "kind", F.lit("")))
+    pairs = gated_.select("id", "no", F.explode(F.array_distinct(seen)).alias("place")).join(hits.select(F.col("query_id").alias("no"), "place", "card", "score"), ["no", "place"])
+    best = pairs.groupBy("id").agg(F.min_by(F.struct("card", "score"), F.struct(-F.col("score"), "card")).alias("b")).select("id", F.col("b.card").alias("nearest"), F.col("b.score").alias("score"))
+    return asked.where("id IS NOT NULL").select("id").distinct().join(best, "id", "left").select("id", "nearest", "score", F.coalesce(gate(F.col("score")), F.lit("created")).alias("outcome"))
+
+
+def recorded(cards: DataFrame, new: DataFrame, kind: str | None = "arch_kind", now: str = "createdAt") -> tuple[DataFrame, DataFrame]:
+    """The table after new records, and what became of each (see near_new).
+
+    Created ones are added and mark what they supersede; a lesson that repeats one in force updates that one's updatedAt
+    and comes out as `updated`; others that are near one are not added. Components, and terms of a name that their
+    project has, replace the old row and keep its id and createdAt. cards and new have the same columns.
+    """
+    named = "name" if kind else "term"
+    by_name = (F.col(kind) == "component") if kind else F.lit(True)
+    found = near_new(cards, new, kind)
+    keys = [F.coalesce("project", F.lit("")).alias("_at"), F.col(named).alias("_name")]
+    had = cards.where(by_name).select(F.col("id").alias("_id"), F.col("createdAt").alias("_created"), *keys).where("_name IS NOT NULL").groupBy("_at", "_name").agg(F.min(F.struct("_created", "_id")).alias("_had"))
+    rows = new.where("id IS NOT NULL").select("*", *keys, by_name.alias("_named")).join(had, ["_at", "_name"], "left").join(found, "id")
+    replaced = F.col("_named") & F.col("_had").isNotNull()
+    outcome = F.when(replaced, "updated").when(F.col("_named") & F.lit(kind is not None), "created")
+    if kind:
+        outcome = outcome.when((F.col(kind) == "lesson") & (F.col("outcome") == "duplicate"), "updated")
+    rows = rows.withColumn("_outcome", outcome.otherwise(F.col("outcome"))).withColumn("_replaced", replaced)
+    written = rows.where(F.col("_replaced") | (F.col("_outcome") == "created"))
+    written = written.withColumn("id", F.when(F.col("_replaced"), F.col("_had._id")).otherwise(F.col("id"))).withColumn("createdAt", F.when(F.col("_replaced"), F.col("_had._created")).otherwise(F.col("createdAt")))
+    newest = Window.partitionBy("id").orderBy(F.col("updatedAt").desc_nulls_last())
+    written = written.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").select(cards.columns)
+    confirmed = rows.where((F.col("_outcome") == "updated") & ~F.col("_replaced")).groupBy(F.col("nearest").alias("id")).agg(F.max(now).alias("_now"))
+    kept = cards.join(written.select("id"), "id", "left_anti").join(confirmed, "id", "left").withColumn("updatedAt", F.greatest("updatedAt", "_now")).select(cards.columns)
+    if kind:
+        kept = supersede(kept, written.select("id", "supersedes")).select(cards.columns)
+    return kept.unionByName(written), rows.select("id", "nearest", "score", F.col("_outcome").alias("outcome"))
+
+
+def deleted(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """Rows but those of some ids; ids that aren't there change nothing."""
+    return rows.where(~F.coalesce(F.col("id").isin(ids), F.lit(False)))

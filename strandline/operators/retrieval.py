@@ -6,76 +6,147 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import fixed
 from strandline.functions import text as T
 from strandline.functions import vectors as V
+from strandline.session import fresh_dir
 
-#: Queries that are held against the corpus in one pass.
-QUERY_BLOCK = 2048
+#: Queries that are sent to every task; more of them meet the corpus block by block.
+QUERIES = 65_536
+#: Vectors of a block.
+BLOCK = 2048
+_HIT = "query_id long, id long, part string, score double"
 
 
-def _scores(ids: list, matrix: np.ndarray, k: int):
+class _Best:
+    """The k best hits so far of every query and part, by score and then key."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)]
+        self.parts: dict = {}
+
+    def add(self, queries: np.ndarray, keys: np.ndarray, parts: list, score: np.ndarray) -> None:
+        """score: queries x keys."""
+        numbers = np.array([self.parts.setdefault(p, len(self.parts)) for p in parts], np.int32)
+        for number in np.unique(numbers):
+            own = np.flatnonzero(numbers == number)
+            k = min(self.k, len(own))
+            some = score[:, own]
+            # all that tie with the last are kept: the order among them is by key
+            least = np.partition(some, len(own) - k, axis=1)[:, len(own) - k, None]
+            q, i = np.nonzero(some >= least)
+            fresh = queries[q], keys[own[i]], np.full(len(q), number, np.int32), some[q, i]
+            self.rows = [np.concatenate(x) for x in zip(self.rows, fresh)]
+        if len(self.rows[0]) > 2_000_000:
+            self.prune()
+
+    def prune(self) -> None:
+        q, key, part, score = self.rows
+        order = np.lexsort((key, -np.round(score, 9), part, q))
+        group = np.stack([q[order], part[order]])
+        begins = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0))) if len(order) else np.zeros(0, np.int64)
+        rank = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+        self.rows = [c[order[rank < self.k]] for c in self.rows]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.prune()
+        names = list(self.parts)
+        for at in range(0, len(self.rows[0]), 50_000):
+            q, key, part, score = (c[at : at + 50_000] for c in self.rows)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(key), pa.array([names[x] for x in part], pa.string()), pa.array(score)], ["query_id", "id", "part", "score"])
+
+
+def _unit(flat: np.ndarray, n: int) -> np.ndarray:
+    x = flat.astype(np.float64).reshape(n, -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _held(shared, k: int):
+    """Rows id, part, vector against all of some queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ids, matrix), best = shared.value, _Best(k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            score = (matrix @ x.T) / np.linalg.norm(x, axis=1)
-            top = np.argpartition(-score, min(k, batch.num_rows) - 1, axis=1)[:, : min(k, batch.num_rows)]
-            # all that tie with the last are kept: the order among them is by key
-            least = np.take_along_axis(score, top, 1).min(axis=1, keepdims=True)
-            q, i = np.nonzero(score >= least)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in q], pa.int64()), keys.take(pa.array(i)), pa.array(score[q, i])], ["query_id", "id", "score"])
+            if batch.num_rows:
+                x, keys, parts = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False), batch.num_rows), batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for at in range(0, len(ids), BLOCK):
+                    best.add(ids[at : at + BLOCK], keys, parts, matrix[at : at + BLOCK] @ x.T)
+        yield from best.batches()
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows id, part, vector in blocks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            x = _unit(part.column(2).flatten().to_numpy(zero_copy_only=False), part.num_rows).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()]), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())], ["ids", "parts", "matrix"])
+
+
+def _blocks(k: int):
+    """Pairs of blocks of queries and of the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k)
+        for batch in batches:
+            for ids, asked, keys, parts, matrix in zip(*(c.to_pylist() for c in batch.columns)):
+                q, x = (np.frombuffer(m, np.float32).astype(np.float64).reshape(n, -1) for m, n in ((asked, len(ids)), (matrix, len(keys))))
+                best.add(np.array(ids), np.array(keys), parts, q @ x.T)
+        yield from best.batches()
+
+    return run
+
+
+def _some() -> F.Column:
+    """Whether a vector takes part."""
+    return F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull())
+
+
 def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Every row of the corpus with its cosine to each query: query_id, id, score. For what is ranked only after filters or boosts; see top_k for what takes part."""
-    some = F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull())
-    q = queries.where(some).select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
-    pairs = F.broadcast(q).join(corpus.where(some).select("id", "vector"), F.size("asked") == F.size("vector"))
+    q = queries.where(_some()).select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
+    pairs = F.broadcast(q).join(corpus.where(_some()).select("id", "vector"), F.size("asked") == F.size("vector"))
     return pairs.select("query_id", "id", F.round(V.cosine(F.col("asked"), F.col("vector")), 6).alias("score"))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The k most similar rows of the corpus for each query, by cosine: query_id, id, score, rank.
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """The k most similar rows of the corpus for each query, by cosine: query_id, id, score, rank; with by, k for each of its values, as another column.
 
-    queries: id (long), vector; corpus: id (long), vector. Exact: every vector is scored. Queries go in
-    blocks of QUERY_BLOCK, each block in one pass that keeps a task's own best; ties go to the smaller id.
-    Null vectors, zero vectors, and vectors of another length than the first query's take no part.
+    queries: id (long), vector; corpus: id (long), vector. Exact: every vector is scored, in one pass over the corpus;
+    a task keeps its own best. Up to QUERIES queries, by their count, are sent to every task; beyond, blocks of both
+    sides meet as rows. Ties go to the smaller id. Null vectors, zero vectors, and vectors of another length than
+    the first query's take no part.
     """
-    some = F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull())
-    rows = queries.where(some).select("id", "vector").orderBy("id").toLocalIterator()
-    found, block = [], []
-
-    def search() -> None:
-        matrix = np.array([r["vector"] for r in block], np.float64)
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        fitting = corpus.where(some & (F.size("vector") == matrix.shape[1])).select("id", "vector")
-        found.append(fitting.mapInArrow(_scores([r["id"] for r in block], matrix, k), "query_id long, id long, score double"))
-        block.clear()
-
-    width = None
-    for r in rows:
-        width = width or len(r["vector"])
-        if len(r["vector"]) == width:
-            block.append(r)
-            if len(block) == QUERY_BLOCK:
-                search()
-    if block:
-        search()
-    if not found:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    spark, asked = corpus.sparkSession, queries.where(_some()).select("id", "vector")
+    names = ["query_id", "id", *([by] if by else [])]
+    few = asked.limit(QUERIES + 1).toArrow()
+    if not few.num_rows:
+        kind = f", {by} string" if by else ""
+        return spark.createDataFrame([], f"query_id long, id long{kind}, score double, rank int")
+    part = F.col(by).cast("string") if by else F.lit("")
+    if few.num_rows <= QUERIES:
+        few = few.sort_by("id")
+        width = len(few.column("vector")[0])
+        few = few.filter(pc.equal(pc.list_value_length(few.column("vector")), width))
+        matrix = _unit(few.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), few.num_rows)
+        shared = spark.sparkContext.broadcast((few.column("id").to_numpy(), matrix))
+        rows = corpus.where(_some() & (F.size("vector") == width)).select("id", part.alias("part"), "vector")
+        found = rows.mapInArrow(_held(shared, k), _HIT)
+    else:
+        width = len(asked.orderBy("id").first()["vector"])
+        packed = lambda rows: rows.where(F.size("vector") == width).mapInArrow(_packed, "ids array<long>, parts array<string>, matrix binary")
+        q = packed(asked.select("id", F.lit("").alias("part"), "vector")).select(F.col("ids").alias("asked_ids"), F.col("matrix").alias("asked"))
+        rows = packed(corpus.where(_some()).select("id", part.alias("part"), "vector"))
+        found = q.crossJoin(rows).select("asked_ids", "asked", "ids", "parts", "matrix").mapInArrow(_blocks(k), _HIT)  # rows are blocks
+    order = Window.partitionBy("query_id", *(["part"] if by else [])).orderBy(F.round("score", 9).desc(), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumnRenamed("part", by or "part").select(*names, F.round("score", 6).alias("score"), "rank")
 
 
 def best_of_each(rows: DataFrame, by: list[str], limit: int, key: str) -> DataFrame:
@@ -110,6 +181,35 @@ def best_per(hits: DataFrame, by: str, key: str) -> DataFrame:
     return hits.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
+#: Terms asked that are sent to every task; more of them go through the vectors of all terms.
+TERMS = 10_000
+
+
+def search_text(parts: DataFrame, queries: DataFrame, k: int, group: str = "grp", key: str = "id", text: str = "text") -> DataFrame:
+    """The k best parts of each group for each text query, as sparse_search over document_vectors gives them: query_id, group, key, score, rank.
+
+    Only the terms asked are counted and weighed: one pass over the texts leaves, for each part, its length and those
+    of its terms that a query names; only these are written, and read for the frequencies and for the scores.
+    queries: query_id, query.
+    """
+    spark = parts.sparkSession
+    asked = queries.select(F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term")).distinct().limit(TERMS + 1).collect()
+    if len(asked) > TERMS:
+        df, totals = corpus_stats(parts, group, key, text)
+        return sparse_search(document_vectors(parts, group, key, text), query_vectors(queries, df, totals), k)
+    names = F.array(*(F.lit(r["term"]) for r in asked)).cast("array<string>")
+    path = fresh_dir(spark, "terms")
+    terms = parts.select(group, key, T.terms(F.col(text)).alias("terms"))
+    terms.select(group, key, F.size("terms").alias("length"), F.filter("terms", lambda t: F.array_contains(names, t)).alias("terms")).write.parquet(path)
+    held = spark.read.parquet(path)
+    df = held.select(group, F.explode(F.array_distinct("terms")).alias("term")).groupBy(group, "term").agg(F.count("*").alias("df"))
+    totals = held.groupBy(group).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+    tf = held.select(group, key, "length", F.explode("terms").alias("term")).groupBy(group, key, "length", "term").agg(F.count("*").alias("tf"))
+    weight = V.bm25(F.col("tf"), F.col("length"), F.col("average"), F.col("df"), F.col("n"))
+    vectors = tf.join(df, [group, "term"]).join(totals, group).select(group, key, "term", weight.alias("weight"))
+    return sparse_search(vectors, query_vectors(queries, df, totals), k)
+
+
 def corpus_stats(parts: DataFrame, group: str = "grp", key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Document frequencies (group, term, df) and totals (group, n, average) of a corpus of parts."""
     rows = parts.select(group, key, T.terms(F.col(text)).alias("terms"))

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,21 +136,28 @@ def list_projects(index: Index, group: str | None = None) -> DataFrame:
 
 
 def arch_context(index: Index, question: str, project: str | None = None, min_score: float = fixed.MIN_SCORE, limits: dict[str, int] | None = None, history: bool = False) -> DataFrame:
-    """The cards that bear on a question, as many of a kind as its limit allows. cards: id, arch_kind, project, status, vector."""
+    """The cards that bear on a question, as many of a kind as its limit allows. cards: id, arch_kind, project, status, vector.
+
+    Each kind is searched by itself, and within it the project's own cards, which the boost lifts alike; so no kind crowds
+    out another.
+    """
     cards = M.current(index.cards, history)
     cards = cards if project is None else M.visible(cards, project)
-    hits = _ranked(index, cards.withColumnRenamed("id", "card_id"), [_asked(question)], 100, "card_id")
-    return M.top_by_kind(M.boosted(hits.drop("rank"), project or "", min_score), limits or {}, key="card_id")
+    own = F.coalesce(F.col("project") == F.lit(project), F.lit(False)).cast("string")
+    corpus = cards.withColumnRenamed("id", "card_id").withColumn("id", F.xxhash64("card_id")).withColumn("place", F.concat_ws("/", own, "arch_kind"))
+    hits = S.top_k(index.vectors_of([_asked(question)]), corpus, max([5, *(limits or {}).values()]), by="place").join(corpus.drop("vector", "place"), "id").drop("id", "rank")
+    return M.top_by_kind(M.boosted(hits, project or "", min_score), limits or {}, key="card_id")
+
 
+def record_cards(index: Index, cards: DataFrame) -> tuple[Index, DataFrame]:
+    """The index with new cards (columns of index.cards), and what became of each; see memory.recorded."""
+    after, outcome = M.recorded(index.cards, cards)
+    return replace(index, cards=after), outcome
 
-def record_card(index: Index, card: DataFrame, text: str, supersedes: bool = False) -> DataFrame:
-    """What becomes of a new card (one row), by its nearest visible one: outcome, nearest, score. One that supersedes another is always created."""
-    if supersedes:
-        return card.select(F.lit("created").alias("outcome"), F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("score"))
-    corpus = index.cards.withColumn("card_id", F.col("id")).withColumn("id", F.xxhash64("card_id"))
-    hits = S.top_k(index.vectors_of([text]), corpus.select("id", "vector"), 10).join(corpus.select("id", "card_id"), "id")
-    best = hits.agg(F.max(F.struct("score", "card_id")).alias("b")).select(F.col("b.card_id").alias("nearest"), F.col("b.score").alias("score"))
-    return best.select(F.coalesce(V.gate(F.col("score")), F.lit("created")).alias("outcome"), "nearest", "score")
+
+def record_terms(index: Index, terms: DataFrame) -> tuple[Index, DataFrame]:
+    after, outcome = M.recorded(index.terms, terms, kind=None)
+    return replace(index, terms=after), outcome
 
 
 def search_docs(index: Index, query: str, project: str | None = None, audience: list[str] | None = None, ceiling: list[str] | None = None, limit: int = 8) -> DataFrame:
@@ -175,7 +182,47 @@ def term_search(index: Index, query: str, project: str | None = None, limit: int
 
 
 def delete_project(index: Index, group: str, project: str) -> Index:
-    return Index(K.delete_where(index.chunks, grp=group, project=project), index.edges, index.commits, index.parts, index.cards, index.terms, index.embedder)
+    """The index without a project of a group: its chunks, parts, cards and terms, and the edges and commits of its chunks."""
+    gone = index.chunks.where((F.col("grp") == group) & (F.col("project") == project)).select("chunk_id").distinct()
+    kept = K.delete_where(index.chunks, grp=group, project=project)
+    gone = gone.join(kept.select("chunk_id"), "chunk_id", "left_anti")
+    edges = index.edges
+    for end in ("from_chunk_id", "to_chunk_id"):
+        edges = edges if edges is None else edges.join(gone.withColumnRenamed("chunk_id", end), end, "left_anti").select(index.edges.columns)
+    commits = None if index.commits is None else index.commits.join(gone, "chunk_id", "left_anti")
+    own = lambda rows: rows if rows is None else K.delete_where(rows, **({"grp": group} if "grp" in rows.columns else {}), project=project)
+    return Index(kept, edges, commits, own(index.parts), own(index.cards), own(index.terms), index.embedder)
+
+
+def health_check(index: Index) -> DataFrame:
+    """Rows and the rows without a vector of each table that there is: name, rows, without_vector."""
+    found = None
+    for name in ("chunks", "edges", "commits", "parts", "cards", "terms"):
+        rows = getattr(index, name)
+        if rows is not None:
+            lacks = F.count_if(F.col("vector").isNull()) if "vector" in rows.columns else F.lit(0)
+            one = rows.agg(F.count("*").alias("rows"), lacks.cast("long").alias("without_vector")).select(F.lit(name).alias("name"), "rows", "without_vector")
+            found = one if found is None else found.unionByName(one)
+    return found
+
+
+def fetched(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks for requests (id, ts, user, chunk_id, radius_lines): id with the chunk's columns, and an event for every request, found or not.
+
+    Of rows of a chunk_id that differ the one of least startLine, then content counts.
+    """
+    order = Window.partitionBy("chunk_id").orderBy("start_line", "end_line", "hash", "file")
+    rows = index.chunks.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("chunk_id", "grp", "project", "file", "start_line", "end_line", "content")
+    hits = asked.select("id", "chunk_id").join(rows, "chunk_id")
+    events = asked.join(rows.select("chunk_id", F.lit(True).alias("there")), "chunk_id", "left").select("id", "ts", "user", "chunk_id", "radius_lines", F.coalesce("there", F.lit(False)).alias("found"))
+    return hits, events
+
+
+def tools_of(mode: str) -> list[str]:
+    """The tools that a mode offers; an unknown mode is an error."""
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode!r}; there are {', '.join(sorted(MODES))}")
+    return MODES[mode]
 
 
 def render(rows: DataFrame, title: str, *columns: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.operators.increments import ChangeCapture
+from pyspark.sql import functions as F
+
+from strandline.operators.increments import ChangeCapture, StopHere
 from strandline.operators.sessions import cut_sessions, gap_tree
 from strandline.plans.registry import Registry
 from strandline.session import fresh_dir, table
@@ -56,3 +58,33 @@ def p6_found(spark, sf_dir):
 @R.query("p6_changes", f'SELECT full_name, fingerprint, kind, "offset" FROM ({_DUE})')
 def p6_changes(spark, sf_dir):
     return _changes(spark, sf_dir).select("full_name", "fingerprint", "kind", "offset")
+
+
+@R.query(
+    "p6_batches",
+    """
+WITH m AS (SELECT max(probe_id) AS most FROM repo_probes),
+p AS (SELECT *, CASE WHEN probe_id * 3 <= most THEN 0 WHEN probe_id * 3 <= most * 2 THEN 1 ELSE 2 END AS b FROM repo_probes, m
+      WHERE outcome = 'ok' AND fingerprint IS NOT NULL AND probe_id IS NOT NULL AND probed_at IS NOT NULL AND full_name IS NOT NULL),
+k AS (SELECT DISTINCT full_name, b FROM p),
+n AS (SELECT k.full_name, k.b, max(probed_at) AS newest FROM k JOIN p ON p.full_name = k.full_name AND p.b <= k.b GROUP BY ALL),
+l AS (SELECT n.full_name, n.b, max(probe_id) AS "offset" FROM n JOIN p ON p.full_name = n.full_name AND p.b <= n.b AND probed_at = newest GROUP BY ALL),
+f AS (SELECT full_name, arg_max(fingerprint, last_indexed_at::TIMESTAMPTZ) AS state FROM repo_fingerprints GROUP BY full_name)
+SELECT l.full_name, "offset", min(l.b)::BIGINT AS batch FROM l JOIN (SELECT DISTINCT probe_id, fingerprint FROM p) q ON q.probe_id = "offset" LEFT JOIN f ON f.full_name = l.full_name
+WHERE f.full_name IS NULL OR q.fingerprint IS DISTINCT FROM f.state GROUP BY ALL
+""",
+)
+def p6_batches(spark, sf_dir):
+    """The log as it grows by thirds, a run after each, the second of which fails at first after its snapshot and is repeated."""
+    probes, state = table(spark, sf_dir, "repo_probes"), table(spark, sf_dir, "repo_fingerprints")
+    most = probes.agg(F.max("probe_id")).first()[0]
+    capture = ChangeCapture(spark, fresh_dir(spark, "changes"))
+    for third in (1, 2, 3):
+        log = probes.where(F.col("probe_id") * 3 <= most * third)
+        if third == 2:
+            try:
+                capture.run(log, state, stop_after="latest")
+            except StopHere:
+                log = probes  # what came since has to wait
+        capture.run(log, state)
+    return capture.changes().select("full_name", "offset", "batch")

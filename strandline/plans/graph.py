@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from strandline.functions import fixed
@@ -13,19 +11,18 @@ from strandline.plans.registry import Registry
 from strandline.views import oracle, view
 
 R = Registry()
-CAP = 18  # of the definitions a symbol has in these data, some have more
 
 _EDGES = f"""
-    f AS (SELECT project, symbol, count(DISTINCT chunk_id) AS n FROM defs GROUP BY 1, 2),
+    f AS (SELECT project, symbol, count(DISTINCT chunk_id) AS n FROM all_defs GROUP BY 1, 2),
     edges AS (SELECT DISTINCT u.project, u.chunk_id AS from_chunk_id, d.chunk_id AS to_chunk_id, 'calls' AS relation_type, u.symbol AS symbol_name,
         CASE WHEN f.n > 1 THEN 'AMBIGUOUS' WHEN u.file = d.file THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence
-        FROM uses u JOIN f ON f.project = u.project AND f.symbol = u.symbol AND f.n <= {CAP} JOIN defs d ON d.project = u.project AND d.symbol = u.symbol WHERE u.chunk_id <> d.chunk_id),
+        FROM all_uses u JOIN f ON f.project = u.project AND f.symbol = u.symbol AND f.n <= {fixed.MAX_FANOUT} JOIN all_defs d ON d.project = u.project AND d.symbol = u.symbol WHERE u.chunk_id <> d.chunk_id),
     ends AS (SELECT to_chunk_id AS chunk_id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT from_chunk_id, 0, 1 FROM edges),
     degree AS (SELECT chunk_id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM ends GROUP BY 1),
     pin AS (SELECT in_degree AS p95_in_degree FROM (SELECT in_degree, row_number() OVER (ORDER BY in_degree) - 1 AS i, count(*) OVER () AS n FROM degree WHERE in_degree > 0) WHERE i = least(n - 1, floor(n * 0.95))),
     pout AS (SELECT out_degree AS p95_out_degree FROM (SELECT out_degree, row_number() OVER (ORDER BY out_degree) - 1 AS i, count(*) OVER () AS n FROM degree WHERE out_degree > 0) WHERE i = least(n - 1, floor(n * 0.95))),
     hub AS (SELECT chunk_id, in_degree, out_degree FROM degree, pin, pout WHERE in_degree >= greatest(5, p95_in_degree) OR out_degree >= greatest(5, p95_out_degree)),
-    seeds AS (SELECT DISTINCT chunk_id FROM uses WHERE symbol = 's7' AND project = 'p1'),
+    seeds AS (SELECT DISTINCT chunk_id FROM all_uses WHERE symbol = 's7'),
     ways AS (SELECT from_chunk_id AS node, to_chunk_id AS other, symbol_name FROM edges UNION ALL SELECT to_chunk_id, from_chunk_id, symbol_name FROM edges),
     hop1 AS (SELECT DISTINCT other AS chunk_id FROM ways WHERE node IN (SELECT chunk_id FROM seeds) AND other NOT IN (SELECT chunk_id FROM seeds)),
     start1 AS (SELECT chunk_id FROM hop1 ORDER BY chunk_id LIMIT 50),
@@ -38,125 +35,104 @@ def _sql(select: str) -> str:
     return oracle(f"WITH {_EDGES.strip()} {select}")
 
 
-def _whole(select: str) -> str:
-    """The same over all definitions and uses, with the operator's own limit; the seeds are of every project."""
-    sql = f"WITH {_EDGES.strip()} {select}".replace(f"f.n <= {CAP}", f"f.n <= {fixed.MAX_FANOUT}").replace(" AND project = 'p1'", "")
-    return oracle(re.sub(r"\b(FROM|JOIN) (defs|uses)\b", r"\1 all_\2", sql))
-
-
-def _both(name: str, select: str):
-    """Registers a query over the small views, and as NAME_whole over all rows."""
-
-    def add(f):
-        R.query(name, _sql(select))(f)
-        R.query(f"{name}_whole", _whole(select))(lambda spark, sf_dir: f(spark, sf_dir, True))
-        return f
-
-    return add
+def _edges(spark, sf_dir):
+    return G.symbol_edges(view(spark, sf_dir, "all_uses"), view(spark, sf_dir, "all_defs"))
 
 
-def _edges(spark, sf_dir, whole=False):
-    if whole:
-        return G.symbol_edges(view(spark, sf_dir, "all_uses"), view(spark, sf_dir, "all_defs"))
-    return G.symbol_edges(view(spark, sf_dir, "uses"), view(spark, sf_dir, "defs"), CAP)
+def _seeds(spark, sf_dir):
+    return view(spark, sf_dir, "all_uses").where("symbol = 's7'").select("chunk_id").distinct()
 
 
-def _seeds(spark, sf_dir, whole=False):
-    if whole:
-        return view(spark, sf_dir, "all_uses").where("symbol = 's7'").select("chunk_id").distinct()
-    return view(spark, sf_dir, "uses").where("symbol = 's7' AND project = 'p1'").select("chunk_id").distinct()
+@R.query("symbol_edges", _sql("SELECT * FROM edges"))
+def symbol_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)
 
 
-@_both("symbol_edges", "SELECT * FROM edges")
-def symbol_edges(spark, sf_dir, whole=False):
-    return _edges(spark, sf_dir, whole)
-
-
-@R.query("edge_stats", oracle(f"WITH f AS (SELECT project, symbol, count(DISTINCT chunk_id) AS n FROM defs GROUP BY 1, 2 HAVING count(DISTINCT chunk_id) > {CAP}) SELECT count(DISTINCT (u.project, u.symbol)) AS skipped_symbols, coalesce(sum(n), 0)::BIGINT AS skipped_edges FROM uses u JOIN f USING (project, symbol)"))
+@R.query("edge_stats", oracle(f"WITH f AS (SELECT project, symbol, count(DISTINCT chunk_id) AS n FROM all_defs GROUP BY 1, 2 HAVING count(DISTINCT chunk_id) > {fixed.MAX_FANOUT}) SELECT count(DISTINCT (u.project, u.symbol)) AS skipped_symbols, coalesce(sum(n), 0)::BIGINT AS skipped_edges FROM all_uses u JOIN f USING (project, symbol)"))
 def edge_stats(spark, sf_dir):
-    return G.edge_stats(view(spark, sf_dir, "uses"), view(spark, sf_dir, "defs"), CAP)
+    return G.edge_stats(view(spark, sf_dir, "all_uses"), view(spark, sf_dir, "all_defs"))
 
 
-@_both("degree_stats", "SELECT * FROM degree")
-def degree_stats(spark, sf_dir, whole=False):
-    return G.degrees(_edges(spark, sf_dir, whole))
+@R.query("degree_stats", _sql("SELECT * FROM degree"))
+def degree_stats(spark, sf_dir):
+    return G.degrees(_edges(spark, sf_dir))
 
 
-@_both("degree_p95", "SELECT p95_in_degree, p95_out_degree FROM pin, pout")
-def degree_p95(spark, sf_dir, whole=False):
-    return G.p95_degrees(G.degrees(_edges(spark, sf_dir, whole)))
+@R.query("degree_p95", _sql("SELECT p95_in_degree, p95_out_degree FROM pin, pout"))
+def degree_p95(spark, sf_dir):
+    return G.p95_degrees(G.degrees(_edges(spark, sf_dir)))
 
 
-@_both("hubs", "SELECT * FROM hub")
-def hubs(spark, sf_dir, whole=False):
-    return G.hubs(G.degrees(_edges(spark, sf_dir, whole)))
+@R.query("hubs", _sql("SELECT * FROM hub"))
+def hubs(spark, sf_dir):
+    return G.hubs(G.degrees(_edges(spark, sf_dir)))
 
 
-@_both(
+@R.query(
     "find_usages",
-    """SELECT chunk_id, direction, other, symbol_name, confidence, hub FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, direction ORDER BY symbol_name, other) AS rn FROM (
+    _sql("""SELECT chunk_id, direction, other, symbol_name, confidence, hub FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, direction ORDER BY symbol_name, other) AS rn FROM (
         SELECT to_chunk_id AS chunk_id, 'incoming' AS direction, from_chunk_id AS other, symbol_name, confidence, from_chunk_id IN (SELECT chunk_id FROM hub) AS hub FROM edges
-        UNION ALL SELECT from_chunk_id, 'outgoing', to_chunk_id, symbol_name, confidence, to_chunk_id IN (SELECT chunk_id FROM hub) FROM edges) WHERE chunk_id IN (SELECT chunk_id FROM seeds)) WHERE rn <= 20""",
+        UNION ALL SELECT from_chunk_id, 'outgoing', to_chunk_id, symbol_name, confidence, to_chunk_id IN (SELECT chunk_id FROM hub) FROM edges) WHERE chunk_id IN (SELECT chunk_id FROM seeds)) WHERE rn <= 20"""),
 )
-def find_usages(spark, sf_dir, whole=False):
-    e = _edges(spark, sf_dir, whole)
-    return G.find_usages(e, _seeds(spark, sf_dir, whole), G.hubs(G.degrees(e)))
+def find_usages(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return G.find_usages(e, _seeds(spark, sf_dir), G.hubs(G.degrees(e)))
 
 
-@_both("find_usages_no_hubs", "SELECT chunk_id, 'incoming' AS direction, other, symbol_name, confidence, false AS hub FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY symbol_name, other) AS rn FROM (SELECT to_chunk_id AS chunk_id, from_chunk_id AS other, symbol_name, confidence FROM edges WHERE to_chunk_id IN (SELECT chunk_id FROM seeds) AND from_chunk_id NOT IN (SELECT chunk_id FROM hub))) WHERE rn <= 20")
-def find_usages_no_hubs(spark, sf_dir, whole=False):
-    e = _edges(spark, sf_dir, whole)
-    return G.find_usages(e, _seeds(spark, sf_dir, whole), G.hubs(G.degrees(e)), "incoming", ["calls"], include_hubs=False)
+@R.query("find_usages_no_hubs", _sql("SELECT chunk_id, 'incoming' AS direction, other, symbol_name, confidence, false AS hub FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY symbol_name, other) AS rn FROM (SELECT to_chunk_id AS chunk_id, from_chunk_id AS other, symbol_name, confidence FROM edges WHERE to_chunk_id IN (SELECT chunk_id FROM seeds) AND from_chunk_id NOT IN (SELECT chunk_id FROM hub))) WHERE rn <= 20"))
+def find_usages_no_hubs(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return G.find_usages(e, _seeds(spark, sf_dir), G.hubs(G.degrees(e)), "incoming", ["calls"], include_hubs=False)
 
 
-@_both("impact_1hop", "SELECT chunk_id, 1 AS hop FROM hop1")
-def impact_1hop(spark, sf_dir, whole=False):
-    return G.impact(_edges(spark, sf_dir, whole), _seeds(spark, sf_dir, whole), 1)
+@R.query("impact_1hop", _sql("SELECT chunk_id, 1 AS hop FROM hop1"))
+def impact_1hop(spark, sf_dir):
+    return G.impact(_edges(spark, sf_dir), _seeds(spark, sf_dir), 1)
 
 
-@_both("impact_2hop", "SELECT * FROM reached")
-def impact_2hop(spark, sf_dir, whole=False):
-    return G.impact(_edges(spark, sf_dir, whole), _seeds(spark, sf_dir, whole))
+@R.query("impact_2hop", _sql("SELECT * FROM reached"))
+def impact_2hop(spark, sf_dir):
+    return G.impact(_edges(spark, sf_dir), _seeds(spark, sf_dir))
 
 
-@_both("impact_edges", "SELECT DISTINCT from_chunk_id, to_chunk_id, symbol_name FROM edges WHERE from_chunk_id IN (SELECT chunk_id FROM seeds UNION SELECT chunk_id FROM start1) OR to_chunk_id IN (SELECT chunk_id FROM seeds UNION SELECT chunk_id FROM start1)")
-def impact_edges(spark, sf_dir, whole=False):
-    return G.impact_edges(_edges(spark, sf_dir, whole), _seeds(spark, sf_dir, whole))
+@R.query("impact_edges", _sql("SELECT DISTINCT from_chunk_id, to_chunk_id, symbol_name FROM edges WHERE from_chunk_id IN (SELECT chunk_id FROM seeds UNION SELECT chunk_id FROM start1) OR to_chunk_id IN (SELECT chunk_id FROM seeds UNION SELECT chunk_id FROM start1)"))
+def impact_edges(spark, sf_dir):
+    return G.impact_edges(_edges(spark, sf_dir), _seeds(spark, sf_dir))
 
 
-_PLACES = "(SELECT DISTINCT chunk_id, 'f' || chunk_id::BIGINT % 97 AS file, CASE WHEN chunk_id::BIGINT % 3 = 0 THEN NULL ELSE 'svc' || chunk_id::BIGINT % 4 END AS service, CASE WHEN chunk_id::BIGINT % 9 = 0 THEN 'ctx' END AS bounded_context FROM defs)"
+_PLACES = "(SELECT DISTINCT chunk_id, 'f' || chunk_id::BIGINT % 97 AS file, CASE WHEN chunk_id::BIGINT % 3 = 0 THEN NULL ELSE 'svc' || chunk_id::BIGINT % 4 END AS service, CASE WHEN chunk_id::BIGINT % 9 = 0 THEN 'ctx' END AS bounded_context FROM all_defs)"
 
 
-def _places(spark, sf_dir, whole=False):
+def _places(spark, sf_dir):
     n = F.col("chunk_id").cast("long")
     service = F.when(n % 3 != 0, F.concat(F.lit("svc"), n % 4))
-    return view(spark, sf_dir, "all_defs" if whole else "defs").select("chunk_id", F.concat(F.lit("f"), n % 97).alias("file"), service.alias("service"), F.when(n % 9 == 0, "ctx").alias("bounded_context")).distinct()
+    return view(spark, sf_dir, "all_defs").select("chunk_id", F.concat(F.lit("f"), n % 97).alias("file"), service.alias("service"), F.when(n % 9 == 0, "ctx").alias("bounded_context")).distinct()
 
 
-@_both("impact_by_service", f"SELECT coalesce(service, bounded_context, 'unknown') AS service, hop, count(*) AS chunks FROM reached JOIN {_PLACES} USING (chunk_id) GROUP BY 1, 2")
-def impact_by_service(spark, sf_dir, whole=False):
-    return G.by_service(G.impact(_edges(spark, sf_dir, whole), _seeds(spark, sf_dir, whole)), _places(spark, sf_dir, whole))
+@R.query("impact_by_service", _sql(f"SELECT coalesce(service, bounded_context, 'unknown') AS service, hop, count(*) AS chunks FROM reached JOIN {_PLACES} USING (chunk_id) GROUP BY 1, 2"))
+def impact_by_service(spark, sf_dir):
+    return G.by_service(G.impact(_edges(spark, sf_dir), _seeds(spark, sf_dir)), _places(spark, sf_dir))
 
 
-@_both("edges_by_symbol", "SELECT symbol_name, count(*) AS edges, count(DISTINCT from_chunk_id) AS callers, count(DISTINCT to_chunk_id) AS definitions FROM edges GROUP BY 1")
-def edges_by_symbol(spark, sf_dir, whole=False):
-    return G.by_symbol(_edges(spark, sf_dir, whole))
+@R.query("edges_by_symbol", _sql("SELECT symbol_name, count(*) AS edges, count(DISTINCT from_chunk_id) AS callers, count(DISTINCT to_chunk_id) AS definitions FROM edges GROUP BY 1"))
+def edges_by_symbol(spark, sf_dir):
+    return G.by_symbol(_edges(spark, sf_dir))
 
 
-@_both("top_called", "SELECT to_chunk_id AS chunk_id, count(*) AS in_degree FROM edges WHERE project = 'p2' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-def top_called(spark, sf_dir, whole=False):
-    return G.top_called(_edges(spark, sf_dir, whole), project="p2")
+@R.query("top_called", _sql("SELECT to_chunk_id AS chunk_id, count(*) AS in_degree FROM edges WHERE project = 'p2' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
+def top_called(spark, sf_dir):
+    return G.top_called(_edges(spark, sf_dir), project="p2")
 
 
-@_both(
+@R.query(
     "suggest_components",
-    f"""SELECT file, chunk_id, in_degree FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY in_degree DESC, chunk_id) AS rn FROM (
+    _sql(f"""SELECT file, chunk_id, in_degree FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY in_degree DESC, chunk_id) AS rn FROM (
         SELECT t.chunk_id, p.file, t.in_degree FROM (SELECT to_chunk_id AS chunk_id, count(*) AS in_degree FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) t JOIN {_PLACES} p USING (chunk_id))
-        WHERE file NOT IN (SELECT DISTINCT 'f' || s_suppkey % 40 FROM supplier)) WHERE rn = 1 ORDER BY in_degree DESC, file LIMIT 10""",
+        WHERE file NOT IN (SELECT DISTINCT 'f' || s_suppkey % 40 FROM supplier)) WHERE rn = 1 ORDER BY in_degree DESC, file LIMIT 10"""),
 )
-def suggest_components(spark, sf_dir, whole=False):
+def suggest_components(spark, sf_dir):
     covered = view(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey") % 40).alias("file"))
-    return G.suggest_components(_edges(spark, sf_dir, whole), _places(spark, sf_dir, whole), covered)
+    return G.suggest_components(_edges(spark, sf_dir), _places(spark, sf_dir), covered)
 
 
 _COMMITS = """

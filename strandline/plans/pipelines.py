@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions import fixed
 from strandline.operators import chunkers as C
 from strandline.operators import graph as G
 from strandline.operators import symbols as Y
+from strandline.operators import syntax as X
 from strandline.plans.registry import Registry
 from strandline.sources import embedders as E
 from strandline.sources import files as S
@@ -94,12 +96,16 @@ def stream_once(spark, sf_dir):
 
 @R.query(
     "stream_debounce",
-    "SELECT full_name AS file, count(*) AS bursts FROM (SELECT full_name, probed_at, lag(probed_at) OVER (PARTITION BY full_name ORDER BY probed_at) AS before FROM repo_probes) WHERE before IS NULL OR probed_at >= before + INTERVAL 1 HOUR GROUP BY 1",
+    """
+WITH p AS (SELECT full_name, probed_at, outcome, lag(probed_at) OVER (PARTITION BY full_name ORDER BY probed_at) AS before FROM repo_probes),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR probed_at >= before + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY full_name ORDER BY probed_at, before NULLS FIRST ROWS UNBOUNDED PRECEDING) AS burst FROM p)
+SELECT full_name AS file, arg_max(outcome, (probed_at, outcome)) AS event, count(*) AS changes, epoch_ms(max(probed_at)) AS at_ms FROM n GROUP BY full_name, burst
+""",
 )
 def stream_debounce(spark, sf_dir):
     p = J.read_table(spark, sf_dir, "repo_probes")
-    changes = p.select(F.col("kind").alias("project"), F.col("full_name").alias("file"), F.col("outcome").alias("event"), F.col("probed_at").alias("at"))
-    return J.drained(J.debounced(changes, "1 hour", "90 days"), "complete").groupBy("file").agg(F.count("*").alias("bursts"))
+    changes = p.select(F.lit("").alias("project"), F.col("full_name").alias("file"), F.col("outcome").alias("event"), F.col("probed_at").alias("at"))
+    return J.drained(J.debounced(changes, "1 hour", "90 days"), "complete").select("file", "event", "changes", F.unix_millis("at").alias("at_ms"))
 
 
 @R.query("stream_reformulations", oracle("SELECT a.id AS a_id, b.id AS b_id FROM search_events a JOIN search_events b ON a.{q}user{q} = b.{q}user{q} AND coalesce(a.session, '') = coalesce(b.session, '') AND b.ts > a.ts AND b.ts <= a.ts + 90000"))
@@ -107,7 +113,45 @@ def stream_reformulations(spark, sf_dir):
     return J.drained(J.reformulations(J.read_table(spark, sf_dir, "search_events"), "60 days"))
 
 
-@R.query("stream_fetch_searches", oracle("SELECT t.id AS fetch_id, s.id AS search_id FROM search_events t JOIN search_events s ON t.{q}user{q} = s.{q}user{q} AND s.ts <= t.ts AND s.ts >= t.ts - 600000 WHERE t.tool = 'explain_feature' AND s.tool = 'search_docs'"))
+@R.query(
+    "stream_fetch_searches",
+    oracle("""WITH e AS (SELECT DISTINCT id, ts, {q}user{q}, tool FROM search_events)
+    SELECT t.id AS fetch_id, (arg_max(s.id, (s.ts, s.id))) AS search_id FROM e t LEFT JOIN e s ON s.tool = 'search_docs' AND t.{q}user{q} = s.{q}user{q} AND s.ts <= t.ts AND s.ts >= t.ts - 600000
+    WHERE t.tool = 'explain_feature' GROUP BY 1"""),
+)
 def stream_fetch_searches(spark, sf_dir):
-    e = J.read_table(spark, sf_dir, "search_events")
-    return J.drained(J.fetch_searches(e.where("tool = 'explain_feature'"), J.read_table(spark, sf_dir, "search_events").where("tool = 'search_docs'"), "10 MINUTES", "60 days"))
+    fetches, searches = (J.read_table(spark, sf_dir, "search_events").where(F.col("tool") == tool) for tool in ("explain_feature", "search_docs"))
+    arrived = view(spark, sf_dir, "search_events").where("tool = 'explain_feature'")
+    return J.latest_search(J.drained(J.fetch_searches(fetches, searches, "10 MINUTES", "60 days")), arrived)
+
+
+def _sound(kind: str, languages: tuple[str, ...] = (), most: int | None = None):
+    """Registers that the chunks of files are sound; the SQL has the lines that they must cover."""
+    only = f" WHERE lower(language) IN ({', '.join(repr(x) for x in languages)})" if languages else ""
+    sql = f"""SELECT file_id::VARCHAR AS key, count(*) AS lines, 0 AS n_wrong, 0 AS n_over FROM (SELECT file_id, unnest(string_split(content, chr(10))) AS line FROM source_files{only})
+    WHERE regexp_matches(line, '[A-Za-z0-9]') GROUP BY 1"""
+
+    @R.query(f"{kind}_sound", sql)
+    def run(spark, sf_dir):
+        files = view(spark, sf_dir, "source_files")
+        files = files.where(F.lower("language").isin(*languages)) if languages else files
+        chunks = X.syntax_chunks(files, "file_id")[0] if kind == "chunk_syntax" else C.code_chunks(files.withColumn("language", F.lit("generic")) if kind == "chunk_fixed" else files, "file_id")
+        return X.soundness(chunks, files, "file_id", most).where("lines > 0").drop("chunks")
+
+
+_sound("chunk_syntax")
+_sound("chunk_code")
+_sound("chunk_blocks", ("ruby", "terraform"), 3 * fixed.CHUNK_SIZE)
+_sound("chunk_braces", C.BRACE_LANGUAGES, 3 * fixed.CHUNK_SIZE)
+_sound("chunk_indent", ("python",), 3 * fixed.CHUNK_SIZE)
+_sound("chunk_fixed")
+
+
+@R.query("chunk_syntax")
+def chunk_syntax(spark, sf_dir):
+    return X.syntax_chunks(view(spark, sf_dir, "source_files"), "file_id")[0]
+
+
+@R.query("syntax_errors")
+def syntax_errors(spark, sf_dir):
+    return X.syntax_chunks(view(spark, sf_dir, "source_files"), "file_id")[1]

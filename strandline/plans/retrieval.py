@@ -54,27 +54,6 @@ def cosine_pairs(spark, sf_dir):
     return e.join(b, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-_HITS = f"""hits AS (SELECT v.variation, v.place, p.hash, p.vec_id, round(max({_SIM.replace('a.vector', 'v.vector').replace('b.vector', 'p.vector')}), 6) AS score FROM
-    (SELECT vec_id AS variation, vec_id % 2 AS place, vector FROM points WHERE vec_id IN (0, 7, 11)) v CROSS JOIN points p GROUP BY ALL),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY variation ORDER BY score DESC, vec_id) AS rank FROM hits)"""
-
-
-def _variation_hits(spark, sf_dir, k: int):
-    p = _points(spark, sf_dir)
-    hits = S.top_k(p.where(F.col("vec_id").isin(0, 7, 11)), p, k)
-    return hits.join(p.select("id", "hash"), "id").withColumnRenamed("query_id", "variation").withColumn("place", F.col("variation") % 2)
-
-
-@R.query("expanded_search_merge", oracle(f"WITH {_HITS} SELECT hash, max(score) AS score, min(variation) AS first_variation FROM ranked WHERE rank <= 20 GROUP BY hash ORDER BY score DESC, hash LIMIT 10"))
-def expanded_search_merge(spark, sf_dir):
-    return S.merge_variations(_variation_hits(spark, sf_dir, 20), 10)
-
-
-@R.query("cross_group_dedupe", oracle(f"WITH {_HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY variation, rank) AS rn FROM ranked WHERE rank <= 20) SELECT hash, variation, score FROM f WHERE rn = 1 ORDER BY score DESC, hash LIMIT 10"))
-def cross_group_dedupe(spark, sf_dir):
-    return S.first_seen(_variation_hits(spark, sf_dir, 20), 10, place="variation").select("hash", "variation", "score")
-
-
 _TERMS = f"list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 1 AND NOT list_contains({_list(fixed.TERM_STOP_WORDS)}, t))"
 _BM = f"""
     t AS (SELECT audience AS grp, doc_id AS id, {_TERMS} AS terms FROM doc_parts),
@@ -96,8 +75,7 @@ def _parts(spark, sf_dir):
 
 def _sparse(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    q = S.query_vectors(spark.createDataFrame(_QUERIES, "query_id int, query string"), *S.corpus_stats(parts))
-    return S.sparse_search(S.document_vectors(parts), q, 20)
+    return S.search_text(parts, spark.createDataFrame(_QUERIES, "query_id int, query string"), 20)
 
 
 @R.query("corpus_stats", oracle(f"WITH {_BM.strip()} SELECT grp, n, round(average, 6) AS average, (SELECT count(*) FROM df WHERE df.grp = totals.grp) AS terms FROM totals"))
@@ -122,27 +100,6 @@ def bm25_search(spark, sf_dir):
     return _sparse(spark, sf_dir).select("query_id", "grp", "id", "score", "rank")
 
 
-@R.query(
-    "hybrid_search",
-    oracle(f"""WITH {_BM.strip()},
-    de AS (SELECT * FROM (SELECT 1 AS query_id, t.grp, t.id, row_number() OVER (PARTITION BY t.grp ORDER BY round({_SIM}, 9) DESC, t.id) AS rank FROM points a CROSS JOIN points b JOIN t ON t.id = b.vec_id WHERE a.vec_id = 5) WHERE rank <= 20),
-    f AS (SELECT grp, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT grp, id, rank FROM de UNION ALL SELECT grp, id, rank FROM sp WHERE query_id = 1) GROUP BY 1, 2)
-    SELECT grp, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 8"""),
-)
-def hybrid_search(spark, sf_dir):
-    from pyspark.sql import Window
-
-    p, parts = _points(spark, sf_dir), _parts(spark, sf_dir).select("grp", "id")
-    corpus = p.select("id", "vector").join(parts, "id")
-    dense = None
-    for r in parts.select("grp").distinct().collect():  # a few audiences
-        one = S.top_k(p.where("vec_id = 5"), corpus.where(F.col("grp") == r["grp"]), 20).withColumn("grp", F.lit(r["grp"]))
-        dense = one if dense is None else dense.unionByName(one)
-    fused = S.rrf([dense, _sparse(spark, sf_dir).where("query_id = 1")], ["grp", "id"])
-    order = Window.partitionBy("grp").orderBy(F.col("score").desc(), "id")
-    return fused.withColumn("rank", F.row_number().over(order)).where("rank <= 8").select("grp", "id", "score", "rank")
-
-
 _PARA = "pp AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS idx, unnest(string_split(text, chr(10) || chr(10))) AS content FROM doc_parts)"
 
 
@@ -151,23 +108,13 @@ def _paragraphs(spark, sf_dir):
     return rows.withColumn("start_line", F.col("idx") * 10).withColumn("end_line", F.col("idx") * 10 + 9)
 
 
-@R.query(
-    "neighbour_merge",
-    oracle(f"""WITH {_PARA} SELECT h.doc_id, h.idx::INT AS hit, md5(string_agg(p.content, chr(10) || chr(10) ORDER BY p.idx)) AS content, min(p.idx * 10)::INT AS start_line, max(p.idx * 10 + 9)::INT AS end_line
-    FROM pp h JOIN pp p ON p.doc_id = h.doc_id AND p.idx BETWEEN h.idx - 1 AND h.idx + 1 WHERE h.idx % 3 = 0 GROUP BY 1, 2"""),
-)
-def neighbour_merge(spark, sf_dir):
-    parts = _paragraphs(spark, sf_dir)
-    return S.with_neighbours(parts.where("idx % 3 = 0").select("doc_id", "idx"), parts).withColumn("content", F.md5("content"))
-
-
 # every paragraph as a hit
 @R.query(
-    "neighbour_merge_whole",
+    "neighbour_merge",
     oracle(f"""WITH {_PARA} SELECT h.doc_id, h.idx::INT AS hit, md5(string_agg(p.content, chr(10) || chr(10) ORDER BY p.idx)) AS content, min(p.idx * 10)::INT AS start_line, max(p.idx * 10 + 9)::INT AS end_line
     FROM pp h JOIN pp p ON p.doc_id = h.doc_id AND p.idx BETWEEN h.idx - 1 AND h.idx + 1 GROUP BY 1, 2"""),
 )
-def neighbour_merge_whole(spark, sf_dir):
+def neighbour_merge(spark, sf_dir):
     parts = _paragraphs(spark, sf_dir)
     return S.with_neighbours(parts.select("doc_id", "idx"), parts).withColumn("content", F.md5("content"))
 
@@ -213,47 +160,23 @@ def get_chunk_meta(spark, sf_dir):
     return p.groupBy("chunk_id").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min(F.coalesce("service", "project")).alias("service"))
 
 
-# new records: every tenth vector, moved a little towards the next; known: the rest
-_NEW = "SELECT n.vec_id, list_transform(list_zip(n.vector, o.vector), lambda z: z[1]::DOUBLE * 0.9 + z[2]::DOUBLE * (n.vec_id % 7) * 0.15) AS vector, n.project FROM points n JOIN points o ON o.vec_id = n.vec_id + 3 WHERE n.vec_id % 10 = 0"
+# new records: the vectors asked, moved a little towards another; known: all cards
+_NEW = "SELECT n.vec_id, n.arch_kind, n.scope_project, list_transform(list_zip(n.vector, o.vector), lambda z: z[1]::DOUBLE * 0.9 + z[2]::DOUBLE * (n.vec_id % 700 // 100) * 0.15) AS vector FROM points n JOIN points o ON o.vec_id = n.vec_id + 3 WHERE n.vec_id % 100 = 0"
 
 
 @R.query(
     "similarity_gate",
-    oracle(f"""WITH nw AS ({_NEW}), s AS (SELECT a.vec_id, b.vec_id AS nearest, {_SIM} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_SIM}, 9) DESC, b.vec_id) AS r FROM nw a CROSS JOIN points b)
-    SELECT vec_id, nearest, round(score, 6) AS score, CASE WHEN round(score, 6) >= 0.85 THEN 'duplicate' WHEN round(score, 6) >= 0.7 THEN 'similar' ELSE 'created' END AS outcome FROM s WHERE r = 1"""),
+    oracle(f"""WITH nw AS ({_NEW}), s AS (SELECT a.vec_id, b.vec_id::VARCHAR AS nearest, round({_SIM}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_SIM}, 9) DESC) AS r
+        FROM nw a JOIN points b ON b.arch_kind = a.arch_kind AND coalesce(b.status, '') NOT IN ('superseded', 'deprecated') AND (b.scope_project IS NULL OR b.scope_project = a.scope_project))
+    SELECT nw.vec_id::VARCHAR AS id, nearest, score, CASE WHEN score >= 0.85 THEN 'duplicate' WHEN score >= 0.7 THEN 'similar' ELSE 'created' END AS outcome FROM nw LEFT JOIN s ON s.vec_id = nw.vec_id AND r = 1"""),
 )
 def similarity_gate(spark, sf_dir):
     p = _points(spark, sf_dir)
     after = p.select((F.col("id") - 3).alias("id"), F.col("vector").alias("next"))
-    moved = F.zip_with("vector", "next", lambda x, y: x.cast("double") * 0.9 + y.cast("double") * (F.col("id") % 7) * 0.15)
-    new = p.where("id % 10 = 0").join(after, "id").select("id", moved.alias("vector"))
-    hits = S.top_k(new, p, 1)
-    return M.gated(hits.select(F.col("query_id").alias("vec_id"), "id", "score"), "vec_id", "id")
-
-
-@R.query(
-    "project_boost",
-    oracle(f"""SELECT id, project, round(score, 6) AS score FROM (SELECT b.vec_id AS id, b.scope_project AS project, least(1.0, round({_SIM}, 6) + CASE WHEN b.scope_project = 'p3' THEN 0.05 ELSE 0 END) AS score
-        FROM points a CROSS JOIN points b WHERE a.vec_id = 3) WHERE score >= 0.1"""),
-)
-def project_boost(spark, sf_dir):
-    p = _points(spark, sf_dir)
-    hits = S.top_k(p.where("id = 3"), p, 1 << 20).join(p.select("id", F.col("scope_project").alias("project")), "id").select("id", "project", "score")
-    return M.boosted(hits, "p3", 0.1).withColumn("score", F.round("score", 6))
-
-
-def _context(limits: str) -> str:
-    return oracle(f"""SELECT arch_kind, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY arch_kind ORDER BY score DESC, id) AS rank FROM (
-        SELECT b.arch_kind, b.vec_id AS id, round({_SIM}, 6) AS score FROM points a CROSS JOIN points b WHERE a.vec_id = 3 AND coalesce(b.status, '') NOT IN ('superseded', 'deprecated')
-        AND (b.scope_project = 'p3' OR (b.arch_kind <> 'component' AND b.scope_project IS NULL)))) WHERE rank <= {limits}""")
-
-
-@R.query("arch_context", _context("CASE arch_kind WHEN 'decision' THEN 3 WHEN 'lesson' THEN 0 ELSE 5 END"))
-def arch_context(spark, sf_dir):
-    p = _points(spark, sf_dir)
-    cards = M.visible(M.current(p), "p3", column="scope_project")
-    hits = S.top_k(p.where("id = 3"), cards, 1 << 20).drop("rank").join(cards.select("id", "arch_kind"), "id")
-    return M.top_by_kind(hits, {"decision": 3, "lesson": 0}).select("arch_kind", "id", "score", "rank")
+    moved = F.zip_with("vector", "next", lambda x, y: x.cast("double") * 0.9 + y.cast("double") * F.floor(F.col("id") % 700 / 100) * 0.15)
+    named = lambda df, v: df.select(F.col("id").cast("string").alias("id"), "arch_kind", "status", F.col("scope_project").alias("project"), v)
+    new = p.where("id % 100 = 0").join(after, "id")
+    return M.near_new(named(p, F.col("vector")), named(new, moved.alias("vector")))
 
 
 @R.query("term_search", _top("b.scope_project IS NULL OR b.scope_project = 'p2'", 8))
@@ -262,16 +185,6 @@ def term_search(spark, sf_dir):
     return S.top_k(p.where("vec_id % 100 = 0"), M.visible_terms(p, "p2", "scope_project"), 8)
 
 
-@R.query(
-    "overfetch_then_filter",
-    oracle(f"""SELECT id, score FROM (SELECT b.vec_id AS id, b.scope_project, round({_SIM}, 6) AS score FROM points a CROSS JOIN points b WHERE a.vec_id = 3 ORDER BY score DESC, id LIMIT 30) WHERE scope_project IS NULL ORDER BY score DESC, id LIMIT 10"""),
-)
-def overfetch_then_filter(spark, sf_dir):
-    p = _points(spark, sf_dir)
-    hits = S.top_k(p.where("id = 3"), p, 1 << 20).join(p.select("id", "scope_project"), "id")
-    return M.overfetched(hits, F.col("scope_project").isNull(), 10).select("id", "score")
-
-
 @R.query("arch_list_page", "SELECT id, arch_kind, updatedAt FROM arch_cards WHERE id > '8' AND coalesce(status, '') NOT IN ('superseded', 'deprecated') ORDER BY id LIMIT 25")
 def arch_list_page(spark, sf_dir):
     return M.page(M.current(view(spark, sf_dir, "arch_cards")), "id", "8", 25).select("id", "arch_kind", "updatedAt")
@@ -307,18 +220,9 @@ def term_list(spark, sf_dir):
     return M.visible_terms(view(spark, sf_dir, "glossary_terms"), "media-lib").select("term", "id").orderBy("term", "id").limit(200)
 
 
-@R.query("glossary_expansion", r"SELECT id, trim(term) || ' | ' || trim(term) || ' ' || concat_ws(' ', definition, nullif(array_to_string(aliases, ' '), '')) AS variants FROM glossary_terms WHERE NOT regexp_matches(term, '\s|[A-Z]') AND NOT regexp_matches(term, '(s|S)$')")
-def glossary_expansion(spark, sf_dir):
-    from strandline.functions import text as T
-
-    terms = view(spark, sf_dir, "glossary_terms").where(~F.col("term").rlike(r"\s|[A-Z]") & ~F.col("term").rlike("(s|S)$"))
-    match = F.array(F.struct("term", "definition", "aliases"))
-    return terms.select("id", F.array_join(T.expand_with_glossary(F.col("term"), match), " | ").alias("variants"))
-
-
 # rows: case and singular variants of every term
-@R.query("glossary_expansion_whole")
-def glossary_expansion_whole(spark, sf_dir):
+@R.query("glossary_expansion")
+def glossary_expansion(spark, sf_dir):
     from strandline.functions import text as T
 
     match = F.array(F.struct("term", "definition", "aliases"))
@@ -327,77 +231,76 @@ def glossary_expansion_whole(spark, sf_dir):
 
 # The same searches for the whole query set. A search of several variations asks with the vectors of its id, the next and the one after.
 _ASKED = "a.vec_id % 100 = 0"
-_ALL_HITS = f"""hits AS (SELECT v.query_id, v.variation, p.hash, p.vec_id, round({_SIM.replace('a.vector', 'v.vector').replace('b.vector', 'p.vector')}, 6) AS score FROM
+_ALL_SIM = _SIM.replace("a.vector", "v.vector").replace("b.vector", "p.vector")
+_ALL_HITS = f"""hits AS (SELECT v.query_id, v.variation, p.hash, p.vec_id, round({_ALL_SIM}, 6) AS score, round({_ALL_SIM}, 9) AS exact FROM
     (SELECT a.vec_id AS query_id, b.vec_id - a.vec_id AS variation, b.vector FROM points a JOIN points b ON b.vec_id BETWEEN a.vec_id AND a.vec_id + 2 WHERE {_ASKED}) v CROSS JOIN points p),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, variation ORDER BY score DESC, vec_id) AS rank FROM hits)"""
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, variation ORDER BY exact DESC, vec_id) AS rank FROM hits)"""
 
 
 def _all_hits(spark, sf_dir):
     p = _points(spark, sf_dir)
-    hits = S.scored(p.where("vec_id % 100 < 3"), p).join(p.select("id", "hash"), "id")
-    hits = hits.withColumn("variation", F.col("query_id") % 100).withColumn("query_id", F.col("query_id") - F.col("variation"))
-    order = Window.partitionBy("query_id", "variation").orderBy(F.col("score").desc(), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 20")
+    hits = S.top_k(p.where("vec_id % 100 < 3"), p, 20).join(p.select("id", "hash"), "id")
+    return hits.withColumn("variation", F.col("query_id") % 100).withColumn("query_id", F.col("query_id") - F.col("variation"))
 
 
-@R.query("expanded_search_merge_whole", oracle(f"WITH {_ALL_HITS} SELECT query_id, hash, score, first_variation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash) AS rn FROM (SELECT query_id, hash, max(score) AS score, min(variation) AS first_variation FROM ranked WHERE rank <= 20 GROUP BY 1, 2)) WHERE rn <= 10"))
-def expanded_search_merge_whole(spark, sf_dir):
+@R.query("expanded_search_merge", oracle(f"WITH {_ALL_HITS} SELECT query_id, hash, score, first_variation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash) AS rn FROM (SELECT query_id, hash, max(score) AS score, min(variation) AS first_variation FROM ranked WHERE rank <= 20 GROUP BY 1, 2)) WHERE rn <= 10"))
+def expanded_search_merge(spark, sf_dir):
     return S.merge_variations(_all_hits(spark, sf_dir), 10, by=("query_id",))
 
 
-@R.query("cross_group_dedupe_whole", oracle(f"WITH {_ALL_HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, hash ORDER BY variation, rank) AS rn FROM ranked WHERE rank <= 20) SELECT query_id, hash, variation, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash) AS r FROM f WHERE rn = 1) WHERE r <= 10"))
-def cross_group_dedupe_whole(spark, sf_dir):
+@R.query("cross_group_dedupe", oracle(f"WITH {_ALL_HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, hash ORDER BY variation, rank) AS rn FROM ranked WHERE rank <= 20) SELECT query_id, hash, variation, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash) AS r FROM f WHERE rn = 1) WHERE r <= 10"))
+def cross_group_dedupe(spark, sf_dir):
     return S.first_seen(_all_hits(spark, sf_dir), 10, place="variation", by=("query_id",)).select("query_id", "hash", "variation", "score")
 
 
 @R.query(
-    "project_boost_whole",
+    "project_boost",
     oracle(f"""SELECT query_id, id, project, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, b.scope_project AS project, least(1.0, round({_SIM}, 6) + CASE WHEN b.scope_project = 'p3' THEN 0.05 ELSE 0 END) AS score
         FROM points a CROSS JOIN points b WHERE {_ASKED}) WHERE score >= 0.1"""),
 )
-def project_boost_whole(spark, sf_dir):
+def project_boost(spark, sf_dir):
     p = _points(spark, sf_dir)
     hits = S.scored(p.where("vec_id % 100 = 0"), p).join(p.select("id", F.col("scope_project").alias("project")), "id").select("query_id", "id", "project", "score")
     return M.boosted(hits, "p3", 0.1).withColumn("score", F.round("score", 6))
 
 
 @R.query(
-    "arch_context_whole",
+    "arch_context",
     oracle(f"""SELECT query_id, arch_kind, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, arch_kind ORDER BY score DESC, id) AS rank FROM (
         SELECT a.vec_id AS query_id, b.arch_kind, b.vec_id AS id, round({_SIM}, 6) AS score FROM points a CROSS JOIN points b WHERE {_ASKED} AND coalesce(b.status, '') NOT IN ('superseded', 'deprecated')
         AND (b.scope_project = 'p3' OR (b.arch_kind <> 'component' AND b.scope_project IS NULL)))) WHERE rank <= CASE arch_kind WHEN 'decision' THEN 3 WHEN 'lesson' THEN 0 ELSE 5 END"""),
 )
-def arch_context_whole(spark, sf_dir):
+def arch_context(spark, sf_dir):
     p = _points(spark, sf_dir)
     cards = M.visible(M.current(p), "p3", column="scope_project")
-    hits = S.scored(p.where("vec_id % 100 = 0"), cards).join(cards.select("id", "arch_kind"), "id")
+    hits = S.top_k(p.where("vec_id % 100 = 0"), cards.where("arch_kind <> 'lesson'").select("id", "vector", "arch_kind"), 5, by="arch_kind").drop("rank")
     return M.top_by_kind(hits, {"decision": 3, "lesson": 0}, by=("query_id",)).select("query_id", "arch_kind", "id", "score", "rank")
 
 
 @R.query(
-    "overfetch_then_filter_whole",
+    "overfetch_then_filter",
     oracle(f"""SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
         SELECT a.vec_id AS query_id, b.vec_id AS id, b.scope_project, round({_SIM}, 6) AS score FROM points a CROSS JOIN points b WHERE {_ASKED})) WHERE rn <= 30 AND scope_project IS NULL) WHERE r <= 10"""),
 )
-def overfetch_then_filter_whole(spark, sf_dir):
+def overfetch_then_filter(spark, sf_dir):
     p = _points(spark, sf_dir)
-    hits = S.scored(p.where("vec_id % 100 = 0"), p).join(p.select("id", "scope_project"), "id")
+    hits = S.top_k(p.where("vec_id % 100 = 0"), p, 30).drop("rank").join(p.select("id", "scope_project"), "id")
     return M.overfetched(hits, F.col("scope_project").isNull(), 10, by=("query_id",)).select("query_id", "id", "score")
 
 
 # each vector asks together with the first text query
 @R.query(
-    "hybrid_search_whole",
+    "hybrid_search",
     oracle(f"""WITH {_BM.strip()},
-    de AS (SELECT * FROM (SELECT a.vec_id AS query_id, t.grp, t.id, row_number() OVER (PARTITION BY a.vec_id, t.grp ORDER BY round({_SIM}, 6) DESC, t.id) AS rank FROM points a CROSS JOIN points b JOIN t ON t.id = b.vec_id WHERE {_ASKED}) WHERE rank <= 20),
+    de AS (SELECT * FROM (SELECT a.vec_id AS query_id, t.grp, t.id, row_number() OVER (PARTITION BY a.vec_id, t.grp ORDER BY round({_SIM}, 9) DESC, t.id) AS rank FROM points a CROSS JOIN points b JOIN t ON t.id = b.vec_id WHERE {_ASKED}) WHERE rank <= 20),
     f AS (SELECT query_id, grp, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, grp, id, rank FROM de UNION ALL SELECT a.vec_id, sp.grp, sp.id, sp.rank FROM sp CROSS JOIN points a WHERE sp.query_id = 1 AND {_ASKED}) GROUP BY 1, 2, 3)
     SELECT query_id, grp, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, grp ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 8"""),
 )
-def hybrid_search_whole(spark, sf_dir):
+def hybrid_search(spark, sf_dir):
     p, parts = _points(spark, sf_dir), _parts(spark, sf_dir).select("grp", "id")
     asked = p.where("vec_id % 100 = 0")
     order = Window.partitionBy("query_id", "grp").orderBy(F.col("score").desc(), "id")
     ranked = lambda rows, k: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    dense = ranked(S.scored(asked, p).join(parts, "id"), 20)
+    dense = S.top_k(asked, p.select("id", "vector").join(parts, "id"), 20, by="grp")
     sparse = _sparse(spark, sf_dir).where("query_id = 1").drop("query_id").join(asked.select(F.col("id").alias("query_id")), F.lit(True))
     return ranked(S.rrf([dense, sparse], ["query_id", "grp", "id"]), 8).select("query_id", "grp", "id", "score", "rank")

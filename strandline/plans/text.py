@@ -143,15 +143,9 @@ _MD = " OR ".join(f"regexp_matches(text, '{p}')" for p in fixed.MARKDOWN_STRONG)
 _WEAK = " + ".join(f"regexp_matches(text, '{p}')::INT" for p in fixed.MARKDOWN_WEAK)
 
 
-@R.query("detect_markdown", f"SELECT doc_id, text <> '' AND ({_MD} OR {_WEAK} >= 2) AS markdown FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))")
-def detect_markdown(spark, sf_dir):
-    docs = view(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\r")))
-    return docs.select("doc_id", T.is_markdown(F.col("text")).alias("markdown"))
-
-
 # every document: line ends of all kinds are one for DuckDB's patterns, as they are for Spark's
-@R.query("detect_markdown_whole", f"SELECT doc_id, coalesce(text <> '' AND ({_MD} OR {_WEAK} >= 2), false) AS markdown FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)")
-def detect_markdown_whole(spark, sf_dir):
+@R.query("detect_markdown", f"SELECT doc_id, coalesce(text <> '' AND ({_MD} OR {_WEAK} >= 2), false) AS markdown FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)")
+def detect_markdown(spark, sf_dir):
     return view(spark, sf_dir, "documents").select("doc_id", T.is_markdown(F.col("text")).alias("markdown"))
 
 

@@ -84,13 +84,36 @@ class Files:
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def names(self, path: str) -> list[str]:
+        """Names in a folder but those that begin with _ or a dot, sorted."""
         p = self._path(path)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+        found = (s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else ()
+        return sorted(n for n in found if not n.startswith(("_", ".")))
 
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
-    def touch(self, path: str) -> None:
-        """Creates an empty file in one step."""
-        self._fs.mkdirs(self._path(path).getParent())
-        self._fs.create(self._path(path), True).close()
+    def write_new(self, path: str, text: str) -> None:
+        """Makes a small file with this text; an error if there is one. It shows under its name only when it is complete."""
+        p = self._path(path)
+        if self._fs.exists(p):
+            raise FileExistsError(path)
+        self._fs.mkdirs(p.getParent())
+        claim = self._path(f"{p.getParent()}/_claim-{p.getName()}-{uuid.uuid4().hex}")
+        out = self._fs.create(claim, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self._fs.rename(claim, p):
+            self._fs.delete(claim, False)
+            raise FileExistsError(path)
+
+    def text(self, path: str) -> str:
+        """A small file's text."""
+        found = self._fs.open(self._path(path))
+        try:
+            return bytes(found.readAllBytes()).decode()
+        finally:
+            found.close()
+
+    def delete(self, path: str) -> None:
+        """Deletes a file or folder with all it holds, if it is there."""
+        self._fs.delete(self._path(path), True)

@@ -34,10 +34,25 @@ def once(events: DataFrame, key: str = "id", late: str = "30 days") -> DataFrame
 
 
 def fetch_searches(fetches: DataFrame, searches: DataFrame, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Fetches with the searches of the same user before them: fetch_id, search_id. fetches: id, user, ts; searches: id, user, ts."""
+    """Every fetch with the searches of the same user before it, one row each, or one without: fetch_id, search_id, asked_ts.
+
+    fetches: id, user, ts; searches: id, user, ts. For latest_search.
+    """
     f = event_time(fetches.select(F.col("id").alias("fetch_id"), "user", "ts")).withColumnRenamed("at", "fetched").withWatermark("fetched", late)
-    s = event_time(searches.select(F.col("id").alias("search_id"), F.col("user").alias("who"), "ts")).withColumnRenamed("at", "asked").withWatermark("asked", late)
-    return f.join(s, (F.col("user") == F.col("who")) & (F.col("asked") <= F.col("fetched")) & (F.col("asked") >= F.col("fetched") - F.expr(f"INTERVAL {within}"))).select("fetch_id", "search_id")
+    s = event_time(searches.select(F.col("id").alias("search_id"), F.col("user").alias("who"), F.col("ts").alias("asked_ts")), "asked_ts").withColumnRenamed("at", "asked").withWatermark("asked", late)
+    before = (F.col("user") == F.col("who")) & (F.col("asked") <= F.col("fetched")) & (F.col("asked") >= F.col("fetched") - F.expr(f"INTERVAL {within}"))
+    return f.join(s, before, "left_outer").select("fetch_id", "search_id", "asked_ts")
+
+
+def latest_search(pairs: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
+    """Of what fetch_searches gave out, each fetch with its latest search, or none: fetch_id, search_id. Of searches at one time the greater id.
+
+    A stream gives out a fetch without a search only when no search before it can arrive any more; with fetches (id), a
+    table of those that have arrived, the ones still waiting come out without a search.
+    """
+    last = F.max(F.struct("asked_ts", "search_id")).alias("l")
+    found = pairs.groupBy("fetch_id").agg(last).select("fetch_id", "l.search_id")
+    return found if fetches is None else fetches.select(F.col("id").alias("fetch_id")).distinct().join(found, "fetch_id", "left")
 
 
 def reformulations(searches: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -84,17 +99,20 @@ def append_events(stream: DataFrame, path: str, progress: str):
     return stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def with_retries(work, most: int = 3):
-    """A foreachBatch function that tries work(rows, n) again and hands what fails every time to its dead letters: the rows and the reason."""
-    dead: list[tuple[int, str]] = []
+def with_retries(work, dead: str, most: int = 3):
+    """A foreachBatch function that tries work(rows, n) again and writes what fails every time below dead, with the batch and the reason; a batch met again replaces what it left there."""
 
     def run(batch: DataFrame, n: int) -> None:
         for attempt in range(most):
             try:
                 return work(batch, n)
             except Exception as e:  # noqa: BLE001
-                if attempt == most - 1:
-                    dead.append((n, str(e)))
+                reason = str(e)
+        batch.withColumn("batch", F.lit(n)).withColumn("reason", F.lit(reason)).write.mode("overwrite").parquet(f"{dead}/batch={n}")
 
-    run.dead = dead
     return run
+
+
+def dead_letters(spark: SparkSession, dead: str, schema: str) -> DataFrame:
+    """What with_retries left; schema: of the stream's rows."""
+    return spark.read.schema(f"{schema}, batch int, reason string").option("recursiveFileLookup", "true").parquet(dead)

@@ -72,3 +72,32 @@ def test_empty(spark):
     capture = ChangeCapture(spark, fresh_dir(spark, "t"), 2)
     capture.run(*frames(spark, [], []))
     assert names(capture) == []
+
+
+def test_a_run_reads_only_what_is_new(spark):
+    root = fresh_dir(spark, "t")
+    spark.createDataFrame([probe(i, f"r{i % 50}", f"f{i}", i % 60) for i in range(1, 201)], PROBES).repartitionByRange(4, "probe_id").write.parquet(f"{root}/log")
+    capture = ChangeCapture(spark, f"{root}/runs", 8)
+    log, state = spark.read.parquet(f"{root}/log"), spark.createDataFrame(LOG, STATE)
+    capture.run(log, state)
+    spark.createDataFrame([probe(301, "r1", "g", 59), probe(302, "new", "g", 59)], PROBES).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    log = spark.read.parquet(f"{root}/log")
+    assert capture.run(log, state) == 1
+    plan = capture.records(log, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(probe_id,1" in plan and "LessThanOrEqual(probe_id,302)" in plan
+    assert capture.records(log, 1).count() == 2
+    files = capture._files()
+    assert len(files.names(f"{root}/runs/latest/1")) <= 2 and len(files.names(f"{root}/runs/latest/0")) == 8  # only the partitions touched
+    assert sorted((r["full_name"], r["offset"]) for r in capture.changes(after=0).collect()) == [("new", 302), ("r1", 301)]
+
+
+def test_of_two_runs_at_once_one_fails(spark):
+    capture = ChangeCapture(spark, fresh_dir(spark, "t"), 2)
+    probes, log = frames(spark)
+    with pytest.raises(StopHere):
+        capture.run(probes, log, stop_after="sink")
+    other = ChangeCapture(spark, capture.root, 2)
+    other.run(probes, log)
+    with pytest.raises(FileExistsError):
+        capture._files().write_new(f"{capture.root}/commits/0", "{}")
+    assert names(capture) == ["a", "c"]

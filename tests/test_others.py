@@ -126,11 +126,11 @@ def test_whole_searches_ask_for_every_query(spark, sf):
     asked = {r["vec_id"] for r in view(spark, sf, "points").where("vec_id % 100 = 0").collect()}
     assert len(asked) > 3
     for name in ("expanded_search_merge", "cross_group_dedupe", "hybrid_search", "project_boost", "arch_context", "overfetch_then_filter"):
-        assert {r["query_id"] for r in R.queries[f"{name}_whole"](spark, sf).select("query_id").distinct().collect()} == asked, name
+        assert {r["query_id"] for r in R.queries[name](spark, sf).select("query_id").distinct().collect()} == asked, name
 
 
 def test_every_paragraph_gets_its_neighbours(spark, sf):
     from strandline.plans.retrieval import R, _paragraphs
 
-    hits = R.queries["neighbour_merge_whole"](spark, sf).select("doc_id", "hit").distinct().count()
+    hits = R.queries["neighbour_merge"](spark, sf).select("doc_id", "hit").distinct().count()
     assert hits == _paragraphs(spark, sf).select("doc_id", "idx").distinct().count()
