@@ -4,12 +4,13 @@ The graph joins every document to the words of its running text and to nodes for
 sentences and words; words are hashed to NODES nodes, so the word side has a fixed size whatever the
 corpus. Rated documents are clamped to their mean band. A round gives each word the mean of its
 documents and each other document the mean, over its sentences, of their words' means; it is one pass
-over the documents' tokens that sends at most NODES sums from a task. Words tie the languages' own
+over the documents' tokens that sends at most NODES sums from a task. Rounds go on until the words' values
+change by less than TOLERANCE on the mean, each word counted as often as it is met. Words tie the languages' own
 vocabularies to the ratings, so no language needs a rule of its own.
 
 Propagation draws all values towards the mean. A last fit on about FIT rated documents, or all if they are fewer, turns the
 shares of a document's sentences in BINS ranges of difficulty into the scale of the ratings, and sets the
-cuts between bands.
+cuts between bands. A rated document's band is that of the fit too, for raters err.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 
 from strandline.session import fresh_dir
 
-NODES, SHAPES = 1 << 16, 64
+NODES, SHAPES = 1 << 18, 64
 #: Weight of a sentence's shape nodes against a word.
 SHAPE_WEIGHT = 3.0
-ROUNDS = 3
+TOLERANCE, MOST_ROUNDS = 0.01, 30
 FIT, BINS, RIDGE = 20_000, 16, 1.0
 #: Running text of fewer characters, or a page with a greater share of code, has no level.
 MIN_CHARS, MAX_CODE = 120, 0.9
@@ -88,7 +89,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text and (found := tokens_of(text, known)):
                 ids.append(doc_id)
-                tokens.append(np.array(found[0], np.uint16).tobytes())
+                tokens.append(np.array(found[0], np.uint32).tobytes())
                 lengths.append(np.array(found[1], np.uint32).tobytes())
             if len(known) > 500_000:
                 known.clear()
@@ -97,7 +98,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpack(tokens: list[bytes], lengths: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens, where each sentence starts, and where each document's sentences start."""
-    flat = np.frombuffer(b"".join(tokens), np.uint16)
+    flat = np.frombuffer(b"".join(tokens), np.uint32)
     sizes = np.frombuffer(b"".join(lengths), np.uint32).astype(np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     counts = np.array([len(x) // 4 for x in lengths], np.int64)
@@ -108,9 +109,8 @@ def _weights(flat: np.ndarray) -> np.ndarray:
     return np.where(flat < SHAPES, SHAPE_WEIGHT, 1.0)
 
 
-def sentence_levels(flat: np.ndarray, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Each sentence's mean over its words; NaN where none has a value."""
-    value = words[flat]
+def sentence_levels(flat: np.ndarray, starts: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Each sentence's mean over its words, whose values are given; NaN where none has one."""
     weight = _weights(flat) * ~np.isnan(value)
     total = np.add.reduceat(np.nan_to_num(value) * weight, starts)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -135,7 +135,7 @@ def _round(shared):
             value = np.array([np.nan if x is None else x for x in level])
             flat, starts, docs = _unpack(tokens, lengths)
             if shared is not None:
-                value = np.where(np.isnan(value), _mean(sentence_levels(flat, starts, shared.value), docs), value)
+                value = np.where(np.isnan(value), _mean(sentence_levels(flat, starts, shared.value[flat]), docs), value)
             ends = np.append(starts[docs[1:]], len(flat))
             each = np.repeat(value, ends - starts[docs])
             good = ~np.isnan(each)
@@ -181,7 +181,7 @@ def _level(shared):
             if not batch.num_rows:
                 continue
             flat, starts, docs = _unpack(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            level = _shares(sentence_levels(flat, starts, words), docs, edges) @ slope + base
+            level = _shares(sentence_levels(flat, starts, words[flat]), docs, edges) @ slope + base
             good = ~np.isnan(level)
             band = 1 + np.searchsorted(cuts, level[good], side="right")
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array(level[good]), pa.array(band.astype(np.int32))], ["doc_id", "level", "band"])
@@ -203,23 +203,34 @@ def reading_levels(documents: DataFrame, ratings: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
     rows.mapInArrow(_tokenise, _FEATURES).join(bands, "doc_id", "left").write.parquet(path)
     features = spark.read.parquet(path)
-    words = None
-    for _ in range(ROUNDS):
+    words, total, weight = None, np.zeros(NODES), np.zeros(NODES)
+    for _ in range(MOST_ROUNDS):
         known = spark.sparkContext.broadcast(words) if words is not None else None  # NODES numbers
         seen = features if words is not None else features.where(F.col("rated").isNotNull())
         sums = seen.select("tokens", "lengths", "rated").mapInArrow(_round(known), "node int, total double, weight double")
         got = sums.groupBy("node").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).toArrow()  # at most NODES rows
-        words = np.full(NODES, np.nan)
-        words[got.column("node").to_numpy()] = got.column("total").to_numpy() / got.column("weight").to_numpy()
+        total[:], weight[:] = 0, 0
+        total[got.column("node").to_numpy()], weight[got.column("node").to_numpy()] = got.column("total").to_numpy(), got.column("weight").to_numpy()
+        before = words
+        with np.errstate(invalid="ignore", divide="ignore"):
+            words = total / weight
+        if before is not None:
+            known.unpersist()
+            both = ~np.isnan(words) & ~np.isnan(before)
+            if (np.isnan(words) == np.isnan(before)).all() and np.abs(words - before)[both] @ weight[both] < TOLERANCE * weight[both].sum():
+                break
     rated = features.where(F.col("rated").isNotNull())
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * FIT / max(FIT, rated.count()))
     few = rated.where(chosen).select("tokens", "lengths", "rated").toArrow()
     if not few.num_rows:
         return spark.createDataFrame([], "doc_id long, level double, band int")
     flat, starts, docs = _unpack(few.column("tokens").to_pylist(), few.column("lengths").to_pylist())
-    rated, levels = few.column("rated").to_numpy(), sentence_levels(flat, starts, words)
+    rated = few.column("rated").to_numpy()
+    levels = sentence_levels(flat, starts, words[flat])
     edges = np.quantile(levels[~np.isnan(levels)], np.linspace(0, 1, BINS + 1)[1:-1])
     shares = _shares(levels, docs, edges)
+    good = ~np.isnan(shares).any(axis=1)
+    shares, rated = shares[good], rated[good]
     base = float(rated.mean())
     slope = np.linalg.solve(shares.T @ shares + RIDGE * np.eye(BINS), shares.T @ (rated - base))
     fitted = spark.sparkContext.broadcast((words, edges, slope, base, _cuts(shares @ slope + base, rated)))
