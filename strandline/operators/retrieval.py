@@ -197,10 +197,10 @@ def search_text(parts: DataFrame, queries: DataFrame, k: int, group: str = "grp"
     if len(asked) > TERMS:
         df, totals = corpus_stats(parts, group, key, text)
         return sparse_search(document_vectors(parts, group, key, text), query_vectors(queries, df, totals), k)
-    names = F.array(*(F.lit(r["term"]) for r in asked)).cast("array<string>")
+    names = [r["term"] for r in asked]
     path = fresh_dir(spark, "terms")
     terms = parts.select(group, key, T.terms(F.col(text)).alias("terms"))
-    terms.select(group, key, F.size("terms").alias("length"), F.filter("terms", lambda t: F.array_contains(names, t)).alias("terms")).write.parquet(path)
+    terms.select(group, key, F.size("terms").alias("length"), F.filter("terms", lambda t: t.isin(names)).alias("terms")).write.parquet(path)
     held = spark.read.parquet(path)
     df = held.select(group, F.explode(F.array_distinct("terms")).alias("term")).groupBy(group, "term").agg(F.count("*").alias("df"))
     totals = held.groupBy(group).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
