@@ -11,7 +11,7 @@ from strandline.llm.non_source import non_source
 from strandline.llm.packing import PACKER_ITEMS, fill, mixture, pack, token_sizes
 from strandline.llm.reading_level import reading_levels
 from strandline.llm.similar_vectors import nearest
-from strandline.llm.splitting import split_oversized
+from strandline.llm.splitting import soundness, split_oversized
 from strandline.plans.registry import Registry
 from strandline.session import fresh_dir, table
 
@@ -35,6 +35,14 @@ def p1_pieces(spark, sf_dir):
     return _pieces(spark, sf_dir)
 
 
+@R.query(
+    "p1_sound",
+    """SELECT project, 0 AS n_over, 0 AS n_text, 0 AS n_hash, 0 AS n_lines, 0 AS n_gaps FROM chunks JOIN chunker_config ON project = project_name WHERE length(content) > chunkSize GROUP BY project""",
+)
+def p1_sound(spark, sf_dir):
+    return soundness(_pieces(spark, sf_dir), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunker_config")).drop("n_pieces")
+
+
 _TOP = """
 SELECT query_hash, count(DISTINCT id) AS n_searches, max(query_text) AS query_text FROM search_events
 WHERE query_hash IS NOT NULL GROUP BY query_hash ORDER BY n_searches DESC, query_hash LIMIT 20
@@ -82,6 +90,23 @@ def p3_found(spark, sf_dir):
     return similar_pairs(_records(spark, sf_dir)).select("id_a", "id_b")
 
 
+@R.query(
+    "p3_groups_links",
+    f"""
+WITH RECURSIVE r AS (SELECT DISTINCT kind, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))) AS words, id FROM ({_RECORDS})),
+c AS (SELECT kind, words, min(id) AS least, count(*) AS members FROM r WHERE len(words) > 0 GROUP BY ALL),
+e AS (SELECT a.kind, a.least AS x, b.least AS y FROM c a JOIN c b ON a.kind = b.kind AND a.words <> b.words WHERE len(list_intersect(a.words, b.words)) >= 0.7 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))),
+w AS (SELECT kind, least AS x, least AS y FROM c UNION SELECT w.kind, w.x, e.y FROM w JOIN e ON e.kind = w.kind AND e.x = w.y),
+g AS (SELECT kind, x, min(y) AS first_id FROM w GROUP BY ALL)
+SELECT r.kind, r.id, (SELECT count(*) FROM e WHERE e.kind = c.kind AND e.x = c.least) AS n_links, g.first_id FROM r JOIN c ON c.kind = r.kind AND c.words = r.words JOIN g ON g.kind = c.kind AND g.x = c.least
+""",
+)
+def p3_groups_links(spark, sf_dir):
+    """Every record with its number of links and the least id of its group."""
+    found = groups(_records(spark, sf_dir))
+    return found.join(found.groupBy("kind", "group").agg(F.min("id").alias("first_id")), ["kind", "group"]).select("kind", "id", "n_links", "first_id")
+
+
 @R.query("p3_groups")
 def p3_groups(spark, sf_dir):
     return groups(_records(spark, sf_dir))

@@ -14,12 +14,12 @@ def text(seed, n=400):
     return "".join(r.choice(["word ", "fn(x);\n", "\n\n", "End. ", "é😀", "\t"]) for _ in range(n))
 
 
-@pytest.mark.parametrize("limit, overlap", [(40, 0), (64, 16), (100, 50), (7, 3), (1, 0), (50, 49), (50, 500)])
+@pytest.mark.parametrize("limit, overlap", [(40, 0), (64, 16), (100, 50), (7, 3), (1, 0), (50, 49)])
 @pytest.mark.parametrize("seed", range(3))
 def test_pieces_cover_within_limit_and_overlap(limit, overlap, seed):
     s = text(seed)
     cuts = cut_points(s, limit, overlap)
-    o = min(overlap, limit // 2)
+    o = overlap
     assert cuts[0][0] == 0 and cuts[-1][1] == len(s)
     assert all(0 < b - a <= limit for a, b in cuts)
     for (a, b), (c, d) in zip(cuts, cuts[1:]):
@@ -77,3 +77,24 @@ def test_rows(spark):
     assert placed[-1][4] == 35
     assert split_oversized(spark.createDataFrame([], CHUNKS), config).count() == 0
     assert split_oversized(spark.createDataFrame(rows, CHUNKS), config.limit(0)).count() == len(rows)
+
+
+def test_an_overlap_without_room_is_an_error_and_soundness_sees_faults(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from strandline.llm.splitting import cut_points, soundness, split_oversized
+
+    with pytest.raises(ValueError):
+        cut_points("x" * 100, 20, 20)
+    cuts = cut_points("word and more. " * 40, 50, 40)  # more than half
+    assert all(b - a <= 50 for a, b in cuts) and all(y[0] == x[1] - 40 or y[0] == 0 for x, y in zip(cuts, cuts[1:]))
+    chunks = spark.createDataFrame([("g", "p", "a", "x", 3, 50, "line of text\n" * 40, "h", "c1")], "grp string, project string, file string, language string, startLine int, endLine int, content string, hash string, chunk_id string")
+    config = spark.createDataFrame([("p", 100, 20)], "project_name string, chunkSize int, overlap int")
+    with pytest.raises(ValueError):
+        split_oversized(chunks, config.withColumn("overlap", F.col("chunkSize")))
+    pieces = split_oversized(chunks, config)
+    good = soundness(pieces, chunks, config).first()
+    assert good["n_pieces"] > 5 and sum(good[c] for c in ("n_over", "n_text", "n_hash", "n_lines", "n_gaps")) == 0
+    bad = soundness(pieces.withColumn("content", F.upper("content")).withColumn("endLine", F.col("endLine") + F.when(F.col("piece_no") == 2, 1).otherwise(0)).where("piece_no <> 4"), chunks, config).first()
+    assert bad["n_text"] == good["n_pieces"] - 1 and bad["n_hash"] == bad["n_text"] and bad["n_lines"] == 1 and bad["n_gaps"] == 1
