@@ -233,6 +233,29 @@ def histogram(df: DataFrame, value: str, edges: list[float], by: list[str] | Non
     return df.groupBy(*(by or [])).agg(*cells, F.round(F.sum(value), 3).alias("sum"), F.count(value).alias("count"))
 
 
+def gauges(df: DataFrame, at: str, value: str, by: list[str]) -> DataFrame:
+    """The latest value of each series: by, value, at. Of values at one time the greatest."""
+    last = F.max(F.struct(F.col(at).alias("at"), F.col(value).alias("value"))).alias("l")
+    return df.where(F.col(at).isNotNull() & F.col(value).isNotNull()).groupBy(*by).agg(last).select(*by, "l.value", "l.at")
+
+
+def rates(df: DataFrame, at: str, width_ms: int, by: list[str]) -> DataFrame:
+    """Events a second in each bucket of time: by, start_ms, per_second."""
+    return df.where(F.col(at).isNotNull()).groupBy(*by, (F.floor(F.col(at) / width_ms) * width_ms).cast("long").alias("start_ms")).agg(F.round(F.count("*") / (width_ms / 1000), 6).alias("per_second"))
+
+
+def histogram_quantile(df: DataFrame, value: str, edges: list[float], q: float, by: list[str]) -> DataFrame:
+    """A quantile as buckets tell it, evenly spread within the bucket it falls in; beyond the last edge, that edge: by, quantile."""
+    counts = F.array(*(F.count_if(F.col(value) <= e) for e in edges))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), counts.alias("c"))
+    rank, lower = F.col("n") * F.lit(q), F.array(F.lit(0.0), *(F.lit(float(e)) for e in edges[:-1]))
+    at = F.array_position(F.transform("c", lambda c: c >= rank), True).cast("int")
+    upper, below = F.array(*(F.lit(float(e)) for e in edges)), F.when(at > 1, F.try_element_at("c", F.greatest(at - 1, F.lit(1)))).otherwise(F.lit(0))
+    place = F.greatest(at, F.lit(1))
+    inside = F.element_at(lower, place) + (F.element_at(upper, place) - F.element_at(lower, place)) * F.try_divide(rank - below, F.element_at("c", place) - below)
+    return rows.select(*by, F.round(F.when(at == 0, F.lit(float(edges[-1]))).otherwise(F.coalesce(inside, F.lit(0.0))), 6).alias("quantile"))
+
+
 def prune(tables: dict[str, DataFrame], cutoff: int) -> dict[str, DataFrame]:
     """Tables of events without rows before the cutoff; results stay with their searches."""
     kept = {name: df.where(F.col("ts") >= cutoff) for name, df in tables.items() if name != "results"}

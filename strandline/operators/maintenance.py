@@ -23,6 +23,17 @@ def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     return old.join(new.select(parent).distinct(), parent, "left_anti").select(new.columns).unionByName(new)
 
 
+def replace_group(old: DataFrame, new: DataFrame, group: str, column: str = "grp") -> DataFrame:
+    """The table with a group made anew: none of its old rows, and the new rows that are of it."""
+    return old.where(~F.col(column).eqNullSafe(F.lit(group))).unionByName(new.where(F.col(column) == group).select(old.columns))
+
+
+def healed(points: DataFrame, vectors: DataFrame, key: str = "hash") -> DataFrame:
+    """Points whose vector is missing get the one that their text has elsewhere; other columns stay. vectors: key, vector."""
+    found = vectors.where("vector IS NOT NULL").groupBy(key).agg(F.min("vector").alias("_vector"))
+    return points.join(found, key, "left").withColumn("vector", F.coalesce("vector", "_vector")).select(points.columns)
+
+
 def add_counts(old: DataFrame, delta: DataFrame, keys: list[str], count: str) -> DataFrame:
     """Counts of both, added up; those that fall to 0 are gone."""
     return old.select(*keys, count).unionByName(delta.select(*keys, count)).groupBy(*keys).agg(F.sum(count).alias(count)).where(F.col(count) > 0)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from strandline.functions import fixed
 from strandline.functions import text as T
@@ -275,8 +276,11 @@ def audience_ceiling(asked: list[str] | None, ceiling: list[str] | None) -> list
 
 
 def for_audience(parts: DataFrame, labels: list[str] | None) -> DataFrame:
-    """Parts of these labels; one without a label is of none."""
-    return parts if labels is None else parts.where(F.col("audience").isin(labels))
+    """Parts of these labels, by a label or an array of labels of which one is enough; one without a label is of none."""
+    if labels is None:
+        return parts
+    several = isinstance(parts.schema["audience"].dataType, ArrayType)
+    return parts.where(F.arrays_overlap("audience", F.array(*map(F.lit, labels)).cast("array<string>")) if several else F.col("audience").isin(labels))
 
 
 def allowed_projects(asked: str, known: list[str]) -> list[str]:

@@ -181,3 +181,9 @@ def cut_sessions(tree: DataFrame, gap_ms: int) -> DataFrame:
     return tree.where((F.col("gap") <= gap_ms) & (F.col("parent_gap") > gap_ms)).select(
         "user", "start_ts", "end_ts", (F.col("end_ts") - F.col("start_ts")).alias("duration_ms"), "n_events"
     )
+
+
+def cut_many(tree: DataFrame, gaps_ms: list[int]) -> DataFrame:
+    """Sessions at several settings in one pass over a tree: gap_ms, and the columns of cut_sessions."""
+    asked = tree.select("*", F.explode(F.array(*(F.lit(g).cast("long") for g in gaps_ms))).alias("gap_ms"))
+    return asked.where((F.col("gap") <= F.col("gap_ms")) & (F.col("parent_gap") > F.col("gap_ms"))).select("gap_ms", "user", "start_ts", "end_ts", (F.col("end_ts") - F.col("start_ts")).alias("duration_ms"), "n_events")

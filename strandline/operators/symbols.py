@@ -1,4 +1,4 @@
-"""Symbols that chunks define and use. Python is parsed; other languages are read by their look, which is approximate."""
+"""Symbols that chunks define and use. Python is parsed; other languages are read by their look, without strings and comments, which is approximate."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import fixed
+from strandline.operators import syntax
 
 SYMBOLS = "chunk_id string, defines array<string>, uses array<string>, kind string"
 _NAME = r"[A-Za-z_$][\w$]*"
@@ -52,6 +53,11 @@ def symbols_of(text: str | None, language: str | None) -> tuple[list[str], list[
     text, language = text or "", (language or "").lower()
     found = _python(text) if language == "python" else _terraform(text) if language == "terraform" else None
     if found is None:
+        if language in syntax.LANGUAGES and language != "python":
+            try:
+                text = "\n".join(syntax.stripped(text.split("\n"), language)[0])
+            except syntax.Unparsed:  # a piece of a file may begin or end within a string
+                pass
         pairs = _DEFINE.findall(text)
         found = [n for _, n in pairs], _CALL.findall(text), _KIND[pairs[0][0]] if pairs else None
     keep = lambda names: list(dict.fromkeys(n for n in names if len(n) > 1 and n not in _NOISE))

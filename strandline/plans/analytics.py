@@ -266,3 +266,25 @@ def retention_prune(spark, sf_dir):
 @R.query("period_filter", oracle("SELECT id, ts, {q}user{q} FROM searches WHERE ts BETWEEN 1736000000000 AND 1736604800000 AND group_name = 'atlas'"))
 def period_filter(spark, sf_dir):
     return A.in_period(view(spark, sf_dir, "searches"), 1_736_000_000_000, 1_736_604_800_000, group="atlas").select("id", "ts", "user")
+
+
+@R.query("cache_gauges", "SELECT tool, arg_max(result_count, (ts, result_count)) AS value, max(ts) AS \"at\" FROM search_events WHERE ts IS NOT NULL AND result_count IS NOT NULL GROUP BY 1")
+def cache_gauges(spark, sf_dir):
+    return A.gauges(view(spark, sf_dir, "search_events"), "ts", "result_count", ["tool"])
+
+
+@R.query("search_rates", "SELECT tool, ts // 3600000 * 3600000 AS start_ms, round(count(*) / 3600.0, 6) AS per_second FROM search_events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def search_rates(spark, sf_dir):
+    return A.rates(view(spark, sf_dir, "search_events"), "ts", 3_600_000, ["tool"])
+
+
+_EDGES = (10, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
+
+
+@R.query(
+    "duration_quantile",
+    f"""WITH c AS (SELECT tool, count(*) AS n, {", ".join(f"count(*) FILTER (duration_ms <= {e}) AS c{i}" for i, e in enumerate(_EDGES, 1))} FROM search_events WHERE duration_ms IS NOT NULL GROUP BY 1)
+    SELECT tool, round(CASE {" ".join(f"WHEN c{i} >= 0.95 * n THEN {([0, *_EDGES])[i - 1]} + ({e} - {([0, *_EDGES])[i - 1]}) * (0.95 * n - {f'c{i - 1}' if i > 1 else '0'}) / (c{i} - {f'c{i - 1}' if i > 1 else '0'})" for i, e in enumerate(_EDGES, 1))} ELSE {_EDGES[-1]} END, 6)::DOUBLE AS quantile FROM c""",
+)
+def duration_quantile(spark, sf_dir):
+    return A.histogram_quantile(view(spark, sf_dir, "search_events"), "duration_ms", list(_EDGES), 0.95, ["tool"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators.increments import ChangeCapture, StopHere
-from strandline.operators.sessions import cut_sessions, gap_tree
+from strandline.operators.sessions import cut_many, cut_sessions, gap_tree
 from strandline.plans.registry import Registry
 from strandline.session import fresh_dir, table
 
@@ -35,6 +35,16 @@ def p5_sessions_5min(spark, sf_dir):
     return cut_sessions(gap_tree(table(spark, sf_dir, "search_events")), 300_000)
 
 
+_SETTINGS = (60_000, 300_000, 1_800_000, 7_200_000)
+
+
+@R.query("p5_settings", " UNION ALL ".join(f"SELECT {g}::BIGINT AS gap_ms, count(*) AS sessions, sum(n_events)::BIGINT AS events, max(duration_ms) AS longest FROM ({_SESSIONS.format(gap=g)})" for g in _SETTINGS))
+def p5_settings(spark, sf_dir):
+    """One tree, cut at several settings."""
+    cut = cut_many(gap_tree(table(spark, sf_dir, "search_events")), list(_SETTINGS))
+    return cut.groupBy("gap_ms").agg(F.count("*").alias("sessions"), F.sum("n_events").alias("events"), F.max("duration_ms").alias("longest"))
+
+
 _DUE = """
 WITH p AS (SELECT full_name, arg_max(fingerprint, (probed_at, probe_id)) AS fingerprint, arg_max(kind, (probed_at, probe_id)) AS kind,
                   arg_max(probe_id, (probed_at, probe_id)) AS "offset"

@@ -151,3 +151,19 @@ def scroll_columns(spark, sf_dir):
 def file_lines(spark, sf_dir):
     sizes = view(spark, sf_dir, "source_files").groupBy(F.col("project_name").alias("project"), "file").agg(F.max("total_lines").alias("total_lines"))
     return view(spark, sf_dir, "search_results").join(sizes, ["project", "file"], "left").select("search_id", "rank", F.coalesce("file_total_lines", "total_lines").alias("file_lines")).distinct()
+
+
+@R.query("reindex_group", "SELECT chunk_id, grp, upper(project) AS project FROM chunks WHERE grp = (SELECT min(grp) FROM chunks) UNION ALL SELECT chunk_id, grp, project FROM chunks WHERE grp IS DISTINCT FROM (SELECT min(grp) FROM chunks)")
+def reindex_group(spark, sf_dir):
+    c = view(spark, sf_dir, "chunks").select("chunk_id", "grp", "project")
+    return K.replace_group(c, c.withColumn("project", F.upper("project")), c.agg(F.min("grp")).first()[0])
+
+
+@R.query(
+    "heal_vectors",
+    """SELECT a.hash, a.model, coalesce(a.vector, b.vector) IS NOT NULL AS has_vector FROM embedding_cache a
+    LEFT JOIN (SELECT hash, min(vector) AS vector FROM embedding_cache WHERE vector IS NOT NULL GROUP BY 1) b ON a.hash = b.hash""",
+)
+def heal_vectors(spark, sf_dir):
+    e = view(spark, sf_dir, "embedding_cache")
+    return K.healed(e, e.select("hash", "vector")).select("hash", "model", F.col("vector").isNotNull().alias("has_vector"))

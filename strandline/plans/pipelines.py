@@ -10,6 +10,7 @@ from strandline.operators import graph as G
 from strandline.operators import symbols as Y
 from strandline.operators import syntax as X
 from strandline.plans.registry import Registry
+from strandline.plans.text import _MD, _WEAK
 from strandline.sources import embedders as E
 from strandline.sources import files as S
 from strandline.streaming import jobs as J
@@ -147,6 +148,23 @@ _sound("chunk_indent", ("python",), 3 * fixed.CHUNK_SIZE)
 _sound("chunk_fixed")
 
 
+@R.query(
+    "chunk_markdown_sound",
+    f"""SELECT doc_id::VARCHAR AS key, count(*) AS lines, 0 AS n_wrong FROM (SELECT doc_id, unnest(string_split(raw, chr(10))) AS line
+        FROM (SELECT doc_id, text AS raw, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents) WHERE text <> '' AND ({_MD} OR {_WEAK} >= 2))
+    WHERE regexp_matches(line, '[A-Za-z0-9]') AND NOT regexp_matches(line, '^ {{0,3}}[#~`]') GROUP BY 1""",
+)
+def chunk_markdown_sound(spark, sf_dir):
+    """Lines of text that the chunks of each page cover, but headings and fences, and the chunks whose hash or lines are wrong."""
+    pages = view(spark, sf_dir, "documents")
+    chunks = C.markdown_chunks(pages, "doc_id")
+    wrong = (F.left(F.sha2("content", 256), F.lit(16)) != F.col("hash")) | (F.col("start_line") > F.col("end_line"))
+    counts = chunks.groupBy("key").agg(F.sum(wrong.cast("int")).alias("n_wrong"))
+    covered = chunks.select("key", F.explode(F.sequence("start_line", F.greatest("start_line", "end_line"))).alias("n")).distinct()
+    lines = pages.select(F.col("doc_id").cast("string").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).where(F.col("line").rlike("[A-Za-z0-9]") & ~F.col("line").rlike("^ {0,3}[#~`]"))
+    return covered.join(lines, ["key", "n"], "left_semi").groupBy("key").agg(F.count("*").alias("lines")).join(counts, "key").select("key", "lines", "n_wrong")
+
+
 @R.query("chunk_syntax")
 def chunk_syntax(spark, sf_dir):
     return X.syntax_chunks(view(spark, sf_dir, "source_files"), "file_id")[0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import graph as G
 from strandline.operators import history as H
+from strandline.operators import retrieval as S
 from strandline.operators import symbols as Y
 from strandline.operators import tools as L
 from strandline.plans.registry import Registry
@@ -67,3 +68,23 @@ _tool("search_docs", ("parts",), lambda i: L.search_docs(i, "restart the queue",
 _tool("arch_context_for", ("cards",), lambda i: L.arch_context(i, "pin the cold cache", min_score=0.1, limits={"lesson": 3}), "card_id", "arch_kind", "score", "rank")
 _tool("term_search_for", ("terms",), lambda i: L.term_search(i, "word for the neighbour"))
 _tool("render_search", (), lambda i: L.render(L.search_code(i, "restart the cache config"), "Results", "chunk_id", "score", "confidence"))
+
+
+@R.query("fetch_events", "SELECT r.chunk_id, r.chunk_id IN (SELECT chunk_id FROM chunks WHERE file IS NOT NULL AND startLine IS NOT NULL AND chunk_id IS NOT NULL) AS found FROM (SELECT DISTINCT chunk_id FROM search_results WHERE chunk_id IS NOT NULL) r")
+def fetch_events(spark, sf_dir):
+    """The event that fetching each chunk of the results leaves."""
+    chunks = view(spark, sf_dir, "chunks").where("file IS NOT NULL AND startLine IS NOT NULL").withColumnRenamed("startLine", "start_line").withColumnRenamed("endLine", "end_line")
+    asked = view(spark, sf_dir, "search_results").where("chunk_id IS NOT NULL").select("chunk_id").distinct().select(F.col("chunk_id").alias("id"), F.lit(0).alias("ts"), F.lit("").alias("user"), "chunk_id", F.lit(0).alias("radius_lines"))
+    return L.fetched(L.Index(chunks), asked)[1].select("chunk_id", "found")
+
+
+@R.query("project_allow_list", "SELECT DISTINCT chunk_id FROM chunks WHERE project = 'atlas-core'")
+def project_allow_list(spark, sf_dir):
+    chunks = view(spark, sf_dir, "chunks")
+    return chunks.where(F.col("project").isin(S.allowed_projects("atlas-core", ["atlas-core", "search-api"]))).select("chunk_id").distinct()
+
+
+@R.query("audience_any", "SELECT doc_id FROM documents WHERE list_has_any(string_split(audience, ','), ['public', 'internal'])")
+def audience_any(spark, sf_dir):
+    docs = view(spark, sf_dir, "documents").withColumn("audience", F.split("audience", ","))
+    return S.for_audience(docs, ["public", "internal"]).select("doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -21,6 +22,7 @@ def build_session(master: str = "local[8]", name: str = "strandline", **conf: st
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     return SparkSession.builder.master(master).appName(name).config(map=settings).getOrCreate()
 
@@ -62,9 +64,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_made: list[tuple] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A folder of this run below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of this run below the shared one; it goes when the driver's process ends, for results may be read from it till then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear)
+    _made.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
+    return path
+
+
+def _clear() -> None:
+    """Deletes what fresh_dir made; what can't be deleted stays."""
+    for jvm, conf, path in _made:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # noqa: BLE001
+            return
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -118,3 +118,52 @@ def test_top_k_by_part_and_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "QUERIES", 5)
     monkeypatch.setattr(S, "BLOCK", 7)
     assert got() == want
+
+
+def test_a_store_gets_batches_with_retries(spark, tmp_path):
+    from strandline.sources.sinks import upsert_batches
+
+    root = str(tmp_path)
+
+    def connect():
+        import json
+        import os
+
+        class Folder:
+            def upsert(self, rows):
+                mark = os.path.join(root, f"tried-{rows[0]['id']}")
+                if rows[0]["id"] == 4:
+                    raise RuntimeError("never")
+                if not os.path.exists(mark):
+                    open(mark, "w").close()
+                    raise RuntimeError("not yet")
+                for r in rows:
+                    with open(os.path.join(root, f"row-{r['id']}"), "w") as f:
+                        json.dump(r, f)
+
+        return Folder()
+
+    df = spark.range(10).coalesce(1).selectExpr("id", "id * 2 AS n_rows")
+    got = sorted(tuple(r) for r in upsert_batches(df, "id", connect, size=2, wait=0.01).collect())
+    assert got == [("0", 2, 2, None), ("2", 2, 2, None), ("4", 2, 3, "never"), ("6", 2, 2, None), ("8", 2, 2, None)]
+    assert sorted(p.name for p in tmp_path.glob("row-*")) == [f"row-{i}" for i in (0, 1, 2, 3, 6, 7, 8, 9)]
+    assert upsert_batches(df.limit(0), "id", connect).count() == 0
+
+
+def test_gauges_rates_and_quantiles_of_odd_rows(spark):
+    from strandline.operators import analytics as A
+
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("a", 1, 7.0), (None, 3, 50.0), ("b", None, 1.0)], "k string, at long, v double")
+    assert {r["k"]: r["value"] for r in A.gauges(df, "at", "v", ["k"]).collect()} == {"a": 7.0, None: 50.0}
+    assert {r["k"]: r["quantile"] for r in A.histogram_quantile(df, "v", [2, 10, 20], 0.5, ["k"]).collect()} == {"a": 6.0, None: 20.0, "b": 1.0}
+    assert A.rates(df, "at", 1000, ["k"]).count() == 2 and A.gauges(df.limit(0), "at", "v", ["k"]).count() == 0
+
+
+def test_one_tree_at_many_settings(spark):
+    from strandline.operators.sessions import cut_many, cut_sessions, gap_tree
+
+    rows = [("u", t, str(i)) for i, t in enumerate((0, 10, 100, 101, 5000))]
+    tree = gap_tree(spark.createDataFrame(rows, "user string, ts long, id string")).cache()
+    got = sorted((r["gap_ms"], r["start_ts"], r["n_events"]) for r in cut_many(tree, [20, 200, 10_000]).collect())
+    want = sorted((g, r["start_ts"], r["n_events"]) for g in (20, 200, 10_000) for r in cut_sessions(tree, g).collect())
+    assert got == want and len(got) == 3 + 2 + 1
