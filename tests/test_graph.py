@@ -45,5 +45,5 @@ def test_whole_edges_at_every_size(spark):
 
     for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
         used = view(spark, sf, "all_uses").select("project", "symbol").distinct().join(view(spark, sf, "all_defs").select("project", "symbol").distinct(), ["project", "symbol"]).count()
-        edges = R.queries["symbol_edges_whole"](spark, sf)
+        edges = R.queries["symbol_edges"](spark, sf)
         assert edges.select("project", "symbol_name").distinct().count() >= 0.9 * used > 0
