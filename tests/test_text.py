@@ -102,9 +102,9 @@ def test_whole_tables_are_judged_and_expanded(spark, tmp_path):
 
     docs = [(1, "# a\r\nb\r\n", True), (2, "a\r# b\r", True), (3, "plain\r\ntext", False), (4, None, False), (5, "", False), (6, "- a\r\n1. b", True)]
     spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["markdown"] for r in text.R.queries["detect_markdown_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["markdown"] for r in text.R.queries["detect_markdown"](spark, str(tmp_path)).collect()}
     assert got == {d[0]: d[2] for d in docs}
     terms = [("a", "caches", "stores", None), ("b", "Cache Store", "a place", ["cs"]), ("c", "queue", None, [])]
     spark.createDataFrame(terms, "id string, term string, definition string, aliases array<string>").write.parquet(str(tmp_path / "glossary_terms.parquet"))
-    got = {r["id"]: r["variants"].split(" | ") for r in retrieval.R.queries["glossary_expansion_whole"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["variants"].split(" | ") for r in retrieval.R.queries["glossary_expansion"](spark, str(tmp_path)).collect()}
     assert got == {"a": ["caches", "cache", "caches stores"], "b": ["Cache Store", "cacheStore", "Cache Store a place cs"], "c": ["queue"]}
